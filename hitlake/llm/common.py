@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,6 +49,8 @@ class Scratch:
 
     def save(self, df: DataFrame, part: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{part}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{part}")
 
     def drop(self, part: str) -> None:
