@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, substring, toxicity
+from . import bpe, mixing, simhash, substring, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,44 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_substring_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Sizes, targets and the seeded choice, for documents of one source each.
+MIX_SQL = """
+with sized as (
+  select doc_id::bigint as doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+    ('0x' || substr(md5('11:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as place
+  from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight
+  from sized group by source),
+ranked as (
+  select *, row_number() over (order by 3 * source_size / weight, source nulls last) as k from sources),
+lefts as (
+  select *, (sum(source_size) over ())::bigint - coalesce(sum(3 * source_size) over (order by k rows between unbounded preceding and 1 preceding), 0)::bigint as l,
+    sum(weight) over (order by k rows between current row and unbounded following)::bigint as w
+  from ranked),
+capped as (select *, l * weight > 3 * source_size * w as over_it from lefts),
+stop as (select coalesce(min(k), 0) as k from capped where not over_it),
+targets as (
+  select c.source, c.source_size, case when c.k < stop.k or stop.k = 0 then (3 * c.source_size)::double
+    else (select l from capped x where x.k = stop.k)::double * c.weight / (select w from capped x where x.k = stop.k) end as target
+  from capped c, stop),
+quotas as (
+  select *, least(floor(target + 0.5)::bigint, 3 * source_size) as quota from targets),
+ordered as (
+  select s.doc_id, s.size, q.source_size, q.target, q.quota,
+    coalesce(sum(s.size) over (partition by s.source order by s.place, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) as before_it
+  from sized s join quotas q on s.source is not distinct from q.source)
+select doc_id, size, source_size, target,
+  (size * (case when source_size = 0 then 0 else quota // source_size + case when 2 * before_it + size <= 2 * (quota % source_size) then 1 else 0 end end))::bigint as taken
+from ordered
+"""
+
+
+@query("op8_mix_sources", MIX_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, sizes, wanted = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"), mixing.cycle())
+    # One row a source; mixing.plan() has bounded their number.
+    facts = spark.createDataFrame([([s], sizes[s], wanted[s]) for s in sizes], "members array<string>, source_size long, target double")
+    return mixed.join(F.broadcast(facts), mixed.members.eqNullSafe(facts.members)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

@@ -37,7 +37,7 @@ def features(text: bytes, bits: int = BITS) -> np.ndarray:
     return np.unique(found >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def learn(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def learn(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 15.0, l2: float = 0.0, epochs: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and weights that aren't zero, and the bias."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     last = 1 << bits
