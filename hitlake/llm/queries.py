@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, substring, toxicity
+from . import bpe, langid, mixing, simhash, substring, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One row a source; mixing.plan() has bounded their number.
     facts = spark.createDataFrame([([s], sizes[s], wanted[s]) for s in sizes], "members array<string>, source_size long, target double")
     return mixed.join(F.broadcast(facts), mixed.members.eqNullSafe(facts.members)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
