@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, mixing, projections, simhash, substring, toxicity, unigram
+from . import bpe, hnsw, langid, licenses, mixing, projections, simhash, substring, toxicity, unigram
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_embedding_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 20 = 0"))
