@@ -23,9 +23,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, as_bytes
@@ -92,6 +93,16 @@ def digests(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), kernel, "doc_id long, n_words long, whole binary, whole_sha256 string")
 
 
+def sequence(text: str) -> Column:
+    """The hash of a text's word sequence, as digests() has it."""
+
+    @F.pandas_udf("binary")
+    def whole(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "replace").split())))
+
+    return whole(text)
+
+
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(anchor, doc_id), each anchor once a row of docs. No shuffle."""
     v = period(window)
