@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Registered queries."""
+
+from . import features, flagging  # noqa: F401
