@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import features, flagging, tables  # noqa: F401
+from . import clusters, features, flagging, tables  # noqa: F401
