@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import clusters, features, flagging, scoring, tables  # noqa: F401
+from . import clusters, features, flagging, more, scoring, tables  # noqa: F401
