@@ -142,7 +142,8 @@ def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.nda
 def index(table: DataFrame, scratch: Scratch, top: int) -> DataFrame:
     """One row a shard: length, shard, vectors (float32), ids and layers, as flat arrays."""
     own = Window.partitionBy("h", "vector").orderBy("vec_id")
-    nodes = table.withColumn("h", F.xxhash64("vector")).withColumn("k", F.row_number().over(own)).where(F.col("k") <= top + 1)
+    once = table.withColumn("h", F.xxhash64("vector")).groupBy("h", "vector", "vec_id").agg(F.count("*").alias("rows"))
+    nodes = once.withColumn("k", F.row_number().over(own)).where(F.col("k") <= top + 1)
     nodes = nodes.groupBy("h", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = scratch.save(nodes.select("h", F.size("vector").alias("length"), "vector", "ids"), "nodes")
     shards = max(1, ceil(nodes.count() / SHARD))

@@ -93,7 +93,7 @@ def digests(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), kernel, "doc_id long, n_words long, whole binary, whole_sha256 string")
 
 
-def sequence(text: str) -> Column:
+def sequence(text: Column) -> Column:
     """The hash of a text's word sequence, as digests() has it."""
 
     @F.pandas_udf("binary")

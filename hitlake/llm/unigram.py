@@ -64,13 +64,15 @@ class Counts:
         word = token.encode("utf-8", "replace")
         totals, node, shared = [0], 0, len(word) <= LONG
         for end in range(1, len(word) + 1):
+            if not shared:
+                totals.append(self._step(word, end, totals))
+                continue
             key = node << 8 | word[end - 1]
-            after = self.child.get(key) if shared else None
+            after = self.child.get(key)
             if after is None:
                 totals.append(self._step(word, end, totals))
-                if shared:
-                    after = self.child[key] = len(self.best)
-                    self.best.append(totals[-1])
+                after = self.child[key] = len(self.best)
+                self.best.append(totals[-1])
             else:
                 totals.append(self.best[after])
             node = after
