@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.registry import all_columns
+from ..functions.running import running_sums
 from ..functions.scalars import binned, half_even, half_even_at
 from ..schema import FLAGS, finite
 
@@ -34,8 +35,7 @@ def roc_auc(df: DataFrame, y: str = "y", s: str = "s", by: list[str] = ()) -> Da
     Rows are first condensed to one a score, so ranks are running sums over distinct scores.
     """
     per = df.groupBy(*by, s).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) != 1).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    got = per.withColumn("_won", F.col("p") * (below + F.col("n") / 2))
+    got = running_sums(per, s, ["n"], list(by)).withColumn("_won", F.col("p") * (F.col("before_n") + F.col("n") / 2))
     auc = (F.sum("_won") / F.when(F.sum("p") * F.sum("n") > 0, F.sum("p") * F.sum("n"))).alias("auc")
     return got.groupBy(*by).agg(auc) if by else got.agg(auc)
 
@@ -43,9 +43,9 @@ def roc_auc(df: DataFrame, y: str = "y", s: str = "s", by: list[str] = ()) -> Da
 def average_precision(df: DataFrame, y: str = "y", s: str = "s") -> DataFrame:
     """One row, ap: precision at each distinct score, weighted by the recall it adds."""
     per = df.groupBy(s).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.count("*").alias("k"))
-    down = Window.orderBy(F.desc(s)).rowsBetween(Window.unboundedPreceding, 0)
-    got = per.withColumns({"_p": F.sum("p").over(down), "_k": F.sum("k").over(down)})
-    return got.agg((F.sum(F.col("p") * F.col("_p") / F.col("_k")) / F.when(F.sum("p") > 0, F.sum("p"))).alias("ap"))
+    got = running_sums(per, s, ["p", "k"], descending=True)
+    precision = (F.col("before_p") + F.col("p")) / (F.col("before_k") + F.col("k"))
+    return got.agg((F.sum(F.col("p") * precision) / F.when(F.sum("p") > 0, F.sum("p"))).alias("ap"))
 
 
 def quantile_bins(df: DataFrame, column: str, q: int = 10) -> tuple[Column, list[float]]:
