@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +16,9 @@ from ..shipping import ship
 
 #: Rows that a kernel works on at once; Spark's Arrow batches are cut to this.
 ROWS_AT_ONCE = 1024
+#: Bytes of an Arrow batch between Spark and its workers. Spark's own bound of 64 MB, held several
+#: times over on both sides for each running task, is much of a small executor.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors, and small Arrow batches unless the session has smaller ones."""
+    ship(spark)
+    if int(spark.conf.get(BATCH, None) or 64 << 20) > BATCH_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system: idle workers live on beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder, so that lost executors cost no recomputation of what came before.
 
@@ -37,7 +56,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        prepare(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._path(self.root, lambda fs, path: fs.deleteOnExit(path))
 
@@ -63,7 +82,7 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict | None], sc
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +91,7 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict | None], sc
                 out = kernel(batch.slice(at, ROWS_AT_ONCE))
                 if out is not None:
                     yield pa.record_batch([pa.array(out[f.name], f.type, from_pandas=False) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import arrow_map, as_bytes, bucketed, remainder
+from .common import arrow_map, as_bytes, bucketed, prepare, remainder
 
 BITS = 12
 MOST = 800
@@ -77,7 +76,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                     n += 1
         yield pa.record_batch({"at": pa.array(np.arange((1 << BITS) + 1, dtype=np.int32)), "n": pa.array(np.append(found, n))})
 
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     found = np.zeros((1 << BITS) + 1, np.int64)
     for r in rows:

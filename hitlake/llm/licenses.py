@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import arrow_map, as_bytes
+from .common import arrow_map, as_bytes, prepare
 from .words import plain_words
 
 LOOKUPS, DRIFT, ENOUGH = 6, 3, 0.7
@@ -132,7 +131,7 @@ def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
             found[-1] += batch.num_rows
         yield pa.record_batch({"at": pa.array(np.arange(len(found), dtype=np.int32)), "n": pa.array(found)})
 
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     found = {r.at: r.n for r in rows}
     return {w: found.get(i, 0) for w, i in place.items()}, found.get(len(every), 0)

@@ -35,7 +35,7 @@ WINDOW = 50
 #: Perfect difference sets by their period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-MEMO = 1 << 18
+MEMO = 1 << 16
 _memo: dict[bytes, int] = {}
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
