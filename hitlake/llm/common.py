@@ -36,9 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """The package on the executors, and small Arrow batches unless the session has smaller ones."""
+    """The package on the executors, and small Arrow batches unless the session sets its own."""
     ship(spark)
-    if int(spark.conf.get(BATCH, None) or 64 << 20) > BATCH_BYTES:
+    if spark.conf.get(BATCH, None) is None:
         spark.conf.set(BATCH, BATCH_BYTES)
 
 

@@ -54,7 +54,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-@query("op7_substring_dedup")
+#: Every window as text; fit for small tables.
+OP7_SQL = """
+with w as (
+  select doc_id::bigint as doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+named as (
+  select doc_id, r, p, array_to_string(ws[p : p + 49], ' ') as s from (select doc_id, r, ws, unnest(range(1, len(ws) - 48)) as p from w where len(ws) >= 50)),
+firsts as (select s, min(doc_id) as first from named group by s),
+gone as (select distinct r, p + k as at from named join firsts using (s), range(50) as t(k) where first < doc_id),
+words as (select r, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as at from w),
+kept as (
+  select words.r, count(gone.at) as n_removed, coalesce(string_agg(case when gone.at is null then word end, ' ' order by words.at), '') as kept
+  from words left join gone on gone.r = words.r and gone.at = words.at group by words.r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept using (r)
+"""
+
+
+@query("op7_substring_dedup", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -119,7 +135,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@query("op9_embedding_near_dedup")
+#: All pairs within a label, and their closure.
+OP9_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach as (select vec_id as a, vec_id as b from embeddings union select reach.a, links.b from reach join links on reach.b = links.a),
+roots as (select a, min(b) as root from reach group by a),
+degrees as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, root as component_id, e.vec_id = root as kept from embeddings e left join roots on roots.a = e.vec_id left join degrees on degrees.a = e.vec_id
+"""
+
+
+@query("op9_embedding_near_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
 

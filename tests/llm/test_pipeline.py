@@ -60,3 +60,16 @@ def test_every_operator_has_a_query():
     names = sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES)
     assert names == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "substring dedup", "mixing sources", "byte-level BPE"]
+
+
+@pytest.mark.parametrize("name", ["op7_substring_dedup", "op8_mix_sources", "op9_embedding_near_dedup"])
+def test_query_agrees_with_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    want = con.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, folder).select(want.columns)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
