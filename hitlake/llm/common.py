@@ -96,6 +96,21 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict | None], sc
     return df.mapInArrow(run, schema)
 
 
+def arrow_rows(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], more: str = "") -> DataFrame:
+    """mapInArrow that passes rows with all their columns through a kernel, which may drop rows or add the columns in `more`."""
+    from pyspark.sql.types import StructType
+
+    prepare(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield kernel(batch.slice(at, ROWS_AT_ONCE))
+        give_back()
+
+    return df.mapInArrow(run, StructType([*df.schema, *(StructType.fromDDL(more) if more else [])]))
+
+
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

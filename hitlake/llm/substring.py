@@ -23,13 +23,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, as_bytes
+from .common import Scratch, arrow_map, arrow_rows, as_bytes
 
 WINDOW = 50
 #: Perfect difference sets by their period.
@@ -93,14 +92,13 @@ def digests(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), kernel, "doc_id long, n_words long, whole binary, whole_sha256 string")
 
 
-def sequence(text: Column) -> Column:
-    """The hash of a text's word sequence, as digests() has it."""
+def with_sequence(docs: DataFrame, name: str) -> DataFrame:
+    """docs, all columns, and the hash of the text's word sequence, as digests() has it. No shuffle."""
 
-    @F.pandas_udf("binary")
-    def whole(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8", "replace").split())))
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.append_column(name, pa.array([xxhash.xxh3_128_digest(b" ".join(x.split())) for x in as_bytes(batch, "text")], pa.binary()))
 
-    return whole(text)
+    return arrow_rows(docs, kernel, f"`{name}` binary")
 
 
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:

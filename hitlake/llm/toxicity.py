@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, bucketed
+from .common import arrow_map, arrow_rows, as_bytes, bucketed
 from .words import plain_words, word_ids
 
 BITS = 20
@@ -116,10 +116,9 @@ def filtered(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thres
     """The rows of docs, all columns, whose score is below the threshold."""
     at, w, bias = model
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = _table(at, w, bits)
-        total = [bias + float(table[features((x or "").encode("utf-8", "replace"), bits)].sum()) for x in texts]
-        return pd.Series(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+        total = np.array([bias + float(table[features(x, bits)].sum()) for x in as_bytes(batch, "text")])
+        return batch.filter(pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))) < threshold))
 
-    return docs.where(scored("text") < threshold)
+    return arrow_rows(docs, kernel)
