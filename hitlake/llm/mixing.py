@@ -123,10 +123,10 @@ def take(docs: DataFrame, patterns: list, scratch: Scratch, seed: int) -> DataFr
     order = Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("sum").over(order), F.lit(0)))
     # The border: the last bucket that begins within the rest. All before it are taken, none behind it.
-    border = sums.join(quota, same(sums, quota)).where("base <= rest").groupBy(sums["members"]).agg(F.max(F.struct("bucket", "base", "whole", "rest")).alias("border"))
-    border = spark.createDataFrame(border.collect(), "members array<string>, border struct<bucket: long, base: long, whole: long, rest: long>") if patterns else border
-    joined = docs.join(F.broadcast(border), same(docs, border)).select(docs["*"], "border.*") if patterns else docs.select("*", *(F.lit(0).cast("long").alias(c) for c in ("base", "whole", "rest")))
-    joined = joined.toDF(*docs.columns[:-1], "bucket", "edge", "base", "whole", "rest") if patterns else joined.withColumn("edge", F.col("bucket"))
+    ahead = sums.join(quota, same(sums, quota)).where("base <= rest").select(sums["members"], F.col("bucket").alias("edge"), "base", "whole", "rest")
+    border = ahead.groupBy("members").agg(F.max(F.struct("edge", "base", "whole", "rest")).alias("b")).select("members", "b.*")
+    border = spark.createDataFrame(border.collect(), "members array<string>, edge long, base long, whole long, rest long")  # one row a pattern
+    joined = docs.join(F.broadcast(border), same(docs, border)).select(docs["*"], "edge", "base", "whole", "rest")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("members").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = joined.where("bucket = edge").withColumn("more", (2 * (F.col("base") + before) + F.col("size") <= 2 * F.col("rest")).cast("int"))
     rest = joined.where("bucket != edge").withColumn("more", (F.col("bucket") < F.col("edge")).cast("int"))
