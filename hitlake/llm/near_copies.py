@@ -7,9 +7,15 @@ covering code of radius 0, threshold 0). Near copies share an anchor in one of T
 the recall given by recall(); the fingerprint distance then sorts out chance meetings, and exact
 Jaccard over whole texts decides.
 
-Within an anchor, rows are compared with leaders, not with each other: a row within LIMIT bits of a
-leader is linked to it, any other becomes a leader. A group of m near copies costs m links a table,
-not m * m. Anchors are streamed in order, and only the leaders of the current one are held.
+Within an anchor, rows are first compared with leaders, not with each other: a row within LIMIT bits
+of a leader is linked to it, any other becomes a leader. A group of m near copies costs m links a
+table, not m * m. Anchors are streamed in order, and only the leaders of the current one are held.
+
+A follower is then still uncompared with the other rows of its anchor, and exact Jaccard may reject
+its link. So once the leaders' links are decided, the anchors with followers are gone through again:
+all their pairs within LIMIT bits that the accepted links haven't joined yet are decided too, blocks
+against blocks where an anchor is large. The groups are those of all pairs that share an anchor and
+lie within LIMIT bits.
 """
 
 from __future__ import annotations
@@ -23,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, as_bytes, prepare
+from .common import Scratch, arrow_map, as_bytes, give_back, prepare
 from .components import components
 from .simhash import fingerprint, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
 WORDS, TABLES, BITS, LIMIT = 4, 80, 18, 58
 PRINT = [f"f{k}" for k in range(WORDS)]
+#: Rows of an anchor that are compared in one piece, and comparisons at once.
+BLOCK, AT_ONCE = 1 << 14, 1 << 18
 
 
 def recall(similarity: float) -> float:
@@ -58,8 +66,8 @@ def prints(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), kernel, "doc_id long, whole binary, " + ", ".join(f"{c} long" for c in PRINT))
 
 
-def anchored(kinds: DataFrame) -> DataFrame:
-    """kinds: (rep, f0..). (anchor, rep, f0..), one row a table."""
+def anchored(kinds: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """kinds: (rep, f0.., and the longs in more). (anchor, rep, f0.., more), one row a table."""
     taken = samples()
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -67,9 +75,9 @@ def anchored(kinds: DataFrame) -> DataFrame:
         bits = np.unpackbits(f.astype(">i8").view(np.uint8).reshape(len(f), -1), axis=1)
         keys = [bits[:, t].astype(np.int64) @ (1 << np.arange(BITS)) | k << BITS for k, t in enumerate(taken)]
         rows = np.tile(np.arange(len(f)), TABLES)
-        return {"anchor": np.concatenate(keys), "rep": batch.column("rep").take(pa.array(rows))} | {c: f[rows, k] for k, c in enumerate(PRINT)}
+        return {"anchor": np.concatenate(keys)} | {c: batch.column(c).take(pa.array(rows)) for c in ("rep", *more)} | {c: f[rows, k] for k, c in enumerate(PRINT)}
 
-    return arrow_map(kinds, kernel, "anchor long, rep long, " + ", ".join(f"{c} long" for c in PRINT))
+    return arrow_map(kinds, kernel, ", ".join(f"{c} long" for c in ("anchor", "rep", *PRINT, *more)))
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,10 +101,18 @@ def follow(rep: np.ndarray, f: np.ndarray, leaders: list) -> list[tuple[int, int
 
 
 def candidates(kinds: DataFrame) -> DataFrame:
-    """(a, b): pairs that share an anchor and lie within LIMIT bits, through leaders; perhaps more than once."""
+    """(a, b, anchor, n): pairs that share an anchor and lie within LIMIT bits, through leaders; perhaps more than once.
+
+    Beside them, with a and b null, the anchors of n > 2 rows that have followers.
+    """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders = None, []
+        last, leaders, n, followers = None, [], 0, 0
+
+        def table(links: list, ended: list) -> pa.RecordBatch:
+            rows = [(a, b, None, None) for a, b in links] + [(None, None, *x) for x in ended]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["a", "b", "anchor", "n"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -108,20 +124,81 @@ def candidates(kinds: DataFrame) -> DataFrame:
             two = (end - start == 2) & (end < len(key)) & (key[start] != last)
             s = start[two]
             near = _distance(f[s], f[s + 1]) <= LIMIT
-            links = list(zip(rep[s][near].tolist(), rep[s + 1][near].tolist(), strict=True))
+            links, ended = list(zip(rep[s][near].tolist(), rep[s + 1][near].tolist(), strict=True)), []
             for s, e in zip(start[~two].tolist(), end[~two].tolist(), strict=True):
                 if e - s > 1 or key[s] == last or e == len(key):
                     if key[s] != last:
-                        leaders = []
+                        if followers and n > 2:
+                            ended.append((last, n))
+                        leaders, n, followers = [], 0, 0
                     last = int(key[s])
-                    links += follow(rep[s:e], f[s:e], leaders)
-            if links:
-                yield pa.record_batch({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+                    new = follow(rep[s:e], f[s:e], leaders)
+                    links, n, followers = links + new, n + e - s, followers + len(new)
+            if links or ended:
+                yield table(links, ended)
+        if followers and n > 2:
+            yield table([], [(last, n)])
+        give_back()
 
     prepare(kinds.sparkSession)
     rows = anchored(kinds)
     n = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "rep").mapInArrow(stream, "a long, b long")
+    return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "rep").mapInArrow(stream, "a long, b long, anchor long, n long")
+
+
+def across(rep: np.ndarray, f: np.ndarray, root: np.ndarray, block: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within LIMIT bits and of different roots; of different blocks, unless same."""
+    _, kind, size = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((kind, size[kind]))  # the largest root comes last, and isn't compared with itself
+    rep, f, root, block = rep[order], f[order], root[order], block[order]
+    many = max(1, AT_ONCE // len(rep))
+    for s in range(0, len(rep), many):
+        if root[s] == root[-1]:
+            break
+        e = min(s + many, len(rep))
+        near = (root[s:e, None] != root[None, s:]) & (np.arange(s, e)[:, None] < np.arange(s, len(rep))[None])
+        if not same:
+            near &= block[s:e, None] != block[None, s:]
+        x, y = np.nonzero(near & (_distance(f[s:e, None], f[None, s:]) <= LIMIT))
+        if len(x):
+            yield rep[s + x], rep[s + y]
+
+
+def uncompared(kinds: DataFrame, large: DataFrame) -> DataFrame:
+    """kinds: (rep, root, f0..); large: (anchor, n). (a, b): the pairs of different roots that share one of these anchors and
+    lie within LIMIT bits; perhaps more than once. Anchors of over BLOCK rows are dealt in blocks, each met by each."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(parts: list) -> Iterator[pa.RecordBatch]:
+            rep, root, block, f = (np.concatenate(x) for x in zip(*(p[1:] for p in parts), strict=True))
+            cell = parts[0][0]
+            for a, b in across(rep, f, root, block, cell[1] == cell[2]):
+                yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep, root, block, *cell = (batch.column(c).to_numpy() for c in ("rep", "root", "block", "anchor", "low", "high"))
+            f, cell = np.stack([batch.column(c).to_numpy() for c in PRINT], axis=1), np.stack(cell, axis=1)
+            start = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1])
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(cell)], strict=True):
+                key = tuple(cell[s].tolist())
+                if held and held[0][0] != key:
+                    yield from pairs(held)
+                    held = []
+                held.append((key, rep[s:e], root[s:e], block[s:e], f[s:e]))
+        if held:
+            yield from pairs(held)
+        give_back()
+
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
+    rows = anchored(kinds, ("root",)).join(large, "anchor").withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("anchor", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "root", *PRINT)
+    n = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = ["anchor", "low", "high"]
+    return rows.repartition(n, *cell).sortWithinPartitions(*cell).mapInArrow(stream, "a long, b long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -134,6 +211,19 @@ def _sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, kernel, "doc_id long, own array<int>")
 
 
+def _pairs(links: DataFrame) -> DataFrame:
+    return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs whose exact Jaccard similarity is LEAST or more."""
+    some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = scratch.save(_sets(docs.join(some, "doc_id").dropDuplicates(["doc_id"])), name)
+    first, second = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(first, "a").join(second, "b").where(shared >= LEAST * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id): the ids of docs (doc_id, text) that are a copy or near copy of a smaller one of their group, each once.
 
@@ -144,14 +234,17 @@ def removed(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = scratch.save(prints(docs), "prints")
     kinds = scratch.save(found.groupBy("whole").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in PRINT)), "kinds")
-    pairs = scratch.save(candidates(kinds.select("rep", *PRINT)).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-    some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.save(_sets(docs.join(some, "doc_id").dropDuplicates(["doc_id"])), "sets")
-    first, second = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = pairs.join(first, "a").join(second, "b").where(shared >= LEAST * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    linked = components(scratch.save(alike, "alike"), scratch)
+    links = scratch.save(candidates(kinds.select("rep", *PRINT)), "links")
+    pairs = scratch.save(_pairs(links.where("a is not null")), "pairs")
+    alike = scratch.save(_alike(docs, pairs, scratch, "sets"), "alike")
+
+    # What the leaders' links leave open: followers with each other, and with other leaders.
+    large = scratch.save(links.where("anchor is not null").select("anchor", "n"), "large")
+    linked = scratch.save(components(alike, scratch), "linked")
+    rooted = kinds.join(linked, kinds.rep == linked.node, "left").select("rep", F.coalesce("root", "rep").alias("root"), *PRINT)
+    more = _pairs(uncompared(scratch.save(rooted, "rooted"), large)).join(pairs, ["a", "b"], "left_anti")
+    more = scratch.save(_alike(docs, scratch.save(more, "more_pairs"), scratch, "more_sets"), "more_alike")
+    linked = components(alike.union(more), scratch, "more_stars")
 
     facts = found.select("doc_id", "whole").join(kinds.select("whole", "rep"), "whole").select("doc_id", "rep")
     facts = facts.join(linked, facts.rep == linked.node, "left").select("doc_id", F.coalesce("root", "rep").alias("root"))

@@ -110,6 +110,48 @@ def test_near_copies_go_and_others_stay(docs):
     assert near_copies.removed(docs(_copies(60, 30))).count() == 0
 
 
+def _family(n, changed, seed=2):
+    """n texts of similarity 0.7 to each other, by a common passage; each of the last third has a near copy."""
+    rng = np.random.default_rng(seed)
+    common = [f"c{k}" for k in range(210)]
+    texts = [common + [f"u{k}x{j}" for j in range(38)] for k in range(n)]
+    for text in texts[-(n // 3) :]:
+        copy = list(text)
+        for at in rng.choice(len(copy), changed, replace=False):
+            copy[at] = f"other{rng.integers(1000)}"
+        texts.append(copy)
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def _behind(rows):
+    """The ids that exact links of 0.8 put behind a smaller one."""
+    sets = {k: frozenset(simhash.shingle_hashes(t.encode(), near_copies.SHINGLE).tolist()) for k, t in rows}
+    return {b for b in sets if any(a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in sets)}
+
+
+def test_near_copies_inside_a_family_of_less_similarity(docs, monkeypatch):
+    rows = _family(300, 3)
+    want = _behind(rows)
+    assert len(want) == 100
+    got = {r.doc_id for r in near_copies.removed(docs(rows)).collect()}
+    assert got <= want and len(got) >= 98
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    assert {r.doc_id for r in near_copies.removed(docs(rows)).collect()} == got
+
+
+def test_followers_are_compared_with_all_others(spark):
+    rng = np.random.default_rng(4)
+    rep, root = np.arange(90), rng.integers(0, 20, 90)
+    f = rng.integers(-(2**63), 2**63, (1, 4)) ^ np.packbits(rng.random((90, 256)) < 0.13, axis=1).view(np.int64)
+    near = (near_copies._distance(f[:, None], f[None]) <= near_copies.LIMIT) & (root[:, None] != root[None])
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b}
+    block = rep % 3
+    whole = [p for a, b in near_copies.across(rep, f, root, block, True) for p in zip(a.tolist(), b.tolist())]
+    apart = [p for a, b in near_copies.across(rep, f, root, block, False) for p in zip(a.tolist(), b.tolist())]
+    assert sorted(map(sorted, whole)) == sorted(map(list, want)) and 100 < len(want) < 3900
+    assert sorted(map(sorted, apart)) == sorted([a, b] for a, b in want if a % 3 != b % 3)
+
+
 def test_near_copies_edges(edge, empty):
     assert {r.doc_id for r in near_copies.removed(edge).collect()} == {2, 3, 6}
     assert near_copies.removed(empty).count() == 0
