@@ -7,7 +7,8 @@ modulo v. So if two documents share a window, they share an aligned anchor: `win
 that start at a cover position in both. Only |D| of v positions are hashed (6 of 31 for 50 words).
 
 1. digests(): each row's word count and sequence hash. Copies of a whole sequence that have a
-   window lose all their words to the first of them, and take no further part.
+   window lose all their words to the first of them. Ids that stand on nothing else take no
+   further part.
 2. anchors, once a document; those in two documents or more are repeated (partial aggregation).
 3. Documents with a repeated anchor are extended: only windows that hold one at a fitting place are
    hashed (96 bits), once a document, and compared with the least document of the same window.
@@ -176,7 +177,10 @@ def changes(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> tuple[Da
     found = scratch.save(anchors(docs, window), "anchors")
     repeated = found.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor")
     held = found.join(scratch.save(repeated, "repeated"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    held = scratch.save(held.join(copies.select("doc_id").distinct(), "doc_id", "left_anti"), "held")
+    # An id may stand on other sequences too; only ids of nothing but copies take no further part.
+    others = long.select("doc_id", "whole").distinct().join(copies, ["doc_id", "whole"], "left_anti").select("doc_id")
+    done = copies.select("doc_id").distinct().join(others, "doc_id", "left_anti")
+    held = scratch.save(held.join(done, "doc_id", "left_anti"), "held")
     scratch.drop("anchors")
     some = scratch.save(docs.join(held, "doc_id"), "some")
 

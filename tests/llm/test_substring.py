@@ -61,6 +61,14 @@ def test_exact_copies_hot_group(docs):
     assert run(docs(rows), 50) == brute(rows, 50)
 
 
+def test_an_id_on_a_copy_and_on_another_text(docs):
+    run_of = lambda c, n=60: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, run_of("a")), (2, "x " + run_of("p")), (5, run_of("a")), (5, run_of("p") + " y " + run_of("q")), (9, run_of("q") + " z"), (5, run_of("a"))]
+    assert run(docs(rows), 50) == brute(rows, 50)
+    removed = {(r[0], r[1]): r[2] for r in run(docs(rows), 50)}
+    assert removed[5, 121] == 60 and removed[9, 61] == 60 and removed[5, 60] == 60
+
+
 def test_edges(docs, edge, empty):
     got = run(edge, 50)
     assert len(got) == 10 and all(r[2] == 0 for r in got)
