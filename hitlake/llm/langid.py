@@ -7,7 +7,8 @@ text that lies further from that centroid than the centroid's own documents did
 keeps its nearest language in lang_pred, and rejected is true.
 
 Document frequencies cover all learnable rows. Centroids are fitted on a bounded sample: for each
-language the rows of least hash, about MOST of them (MOST at most), in one task a language.
+language the distinct texts with a letter of least hash, about MOST of them (MOST at most), in one
+task a language. Copies of a text count once, so a hot text neither crowds out others nor fills a task.
 """
 
 from __future__ import annotations
@@ -104,7 +105,8 @@ def fit(docs: DataFrame, lang: str = "lang", seed: int = 5, most: int = MOST) ->
     own = docs.where(F.col(lang).isNotNull()).select("text", F.col(lang).alias("lang"))
     found, n = document_frequencies(own)
     idf = np.log((1 + n) / (1 + found)) + 1
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    drawn = own.where(F.col("text").rlike("\\p{L}")).withColumn("at", bucketed([F.col("text")], seed))
+    counts = {r["lang"]: r["n"] for r in drawn.select("lang", "at").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {"idf": idf, "langs": [], "centroids": np.zeros((0, 1 << BITS), np.float32), "least": np.zeros(0)}
     share = F.lit(0.0)
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, lang: str = "lang", seed: int = 5, most: int = MOST) ->
         least = [float(np.quantile(near[best == j, j], QUANTILE)) - SLACK if (best == j).any() else 1.0 for j in range(len(c))]
         return pd.DataFrame({"lang": [rows.lang.iloc[0]] * len(c), "k": range(len(c)), "centroid": list(c), "least": least})
 
-    sample = own.withColumn("at", bucketed([F.col("text")], seed)).where(F.col("at") < share)
+    sample = drawn.where(F.col("at") < share).dropDuplicates(["lang", "text"])
     rows = sample.groupBy("lang").applyInPandas(learn, "lang string, k int, centroid array<float>, least double").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["k"]))
     return {"idf": idf, "langs": [r["lang"] for r in rows], "centroids": np.array([r["centroid"] for r in rows], np.float32).reshape(-1, 1 << BITS), "least": np.array([r["least"] for r in rows])}

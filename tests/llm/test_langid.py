@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hitlake.llm import langid
@@ -33,6 +34,17 @@ def test_several_centroids_a_language(docs):
     assert len(langid.fit(docs(corpus(240)))["langs"]) == 3 * langid.CENTROIDS
 
 
+def test_hot_copies_and_texts_without_letters_take_no_place(docs, monkeypatch):
+    monkeypatch.setattr(langid, "document_frequencies", lambda _: (np.zeros(1 << langid.BITS), 0))
+    distinct = list({t: (k, t, lang) for k, t, lang in corpus(240)}.values())
+    hot = [(1000 + k, *distinct[at][1:]) for at in range(30) for k in range(20)]
+    blank = [(5000 + k, t, lang) for k in range(100) for t in (None, "", f"{k} 1") for lang in WORDS]
+    # The same texts are drawn, and so the same centroids learned.
+    want, got = langid.fit(docs(distinct), most=40), langid.fit(docs(distinct + hot + blank), most=40)
+    assert want["langs"] == got["langs"] and len(want["langs"]) == 3 * langid.CENTROIDS
+    assert np.abs(want["centroids"] - got["centroids"]).max() < 1e-5
+
+
 def test_edges(docs, edge):
     got = langid.predict(edge, langid.fit(docs(corpus(60)))).collect()
     assert len(got) == 10
