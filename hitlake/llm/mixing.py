@@ -7,8 +7,8 @@ one before (convex costs), so a quota is met with as little repetition as the ov
 
 Which documents a pattern takes once more than the others is seeded: documents stand in the order
 of a hash of their id, and those whose middle lies within the remaining tokens are taken. Their
-running sums need no global sort: sizes are summed by pattern and hash bucket, and only the one
-bucket on a pattern's border is put in order.
+running sums need no global sort: sizes are summed by pattern and hash bucket, the one bucket on a
+pattern's border is cut again until it is small, and only what is left of it is put in order.
 
 Fewer than PATTERNS patterns are a condition: more are an error, not a cut.
 """
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 PATTERNS = 20_000
-BUCKETS = 1024
+#: Bits of a place that a bucket has more than the one around it; rows of a border that one task puts in order.
+BITS, HELD = 10, 1 << 16
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -46,7 +47,8 @@ def targets(sizes: dict, weights: dict, most: int = 3) -> dict[object, float]:
 def flow(supplies: list[int], members: list[list[int]], quotas: list[int], most: int = 3) -> list[dict[int, int]]:
     """For each pattern, tokens routed to each of its sources: a flow of the largest amount and, among those, of the least cost.
 
-    Successive shortest paths with potentials; token number r of a pattern costs (r - 1) ** 2.
+    Shortest paths with potentials, and along all of one length at once a blocking flow, so rounds are as few
+    as the costs of paths. Repetition number r of a pattern's tokens costs (r - 1) ** 2.
     """
     source, sink = 0, 1
     first, second = 2, 2 + len(supplies)
@@ -65,31 +67,60 @@ def flow(supplies: list[int], members: list[list[int]], quotas: list[int], most:
         edge(second + k, sink, n, 0)
     potential = [0] * len(graph)
     while True:
-        far, back, heap = {source: 0}, {}, [(0, source)]
+        far, heap = {source: 0}, [(0, source)]
         while heap:
             d, a = heappop(heap)
             if d > far[a]:
                 continue
-            for i, (b, room, cost, _) in enumerate(graph[a]):
+            for b, room, cost, _ in graph[a]:
                 step = d + cost + potential[a] - potential[b]
                 if room and step < far.get(b, step + 1):
-                    far[b], back[b] = step, (a, i)
+                    far[b] = step
                     heappush(heap, (step, b))
         if sink not in far:
             break
         top = max(far.values())
         potential = [p + far.get(v, top) for v, p in enumerate(potential)]
-        path, v = [], sink
-        while v != source:
-            path.append(back[v])
-            v = back[v][0]
-        amount = min(graph[a][i][1] for a, i in path)
-        for a, i in path:
-            graph[a][i][1] -= amount
-            graph[graph[a][i][0]][graph[a][i][3]][1] += amount
+        while _blocked(graph, potential, source, sink):
+            pass
     return [{b - second: most * n - room for b, room, _, _ in graph[first + i] if b >= second and room < most * n} for i, n in enumerate(supplies)]
 
 
+def _blocked(graph: list, potential: list[int], source: int, sink: int) -> bool:
+    """A blocking flow over the edges without reduced cost; False where none is left."""
+    level, line = {source: 0}, [source]
+    for a in line:
+        for b, room, cost, _ in graph[a]:
+            if room and b not in level and not cost + potential[a] - potential[b]:
+                level[b] = level[a] + 1
+                line.append(b)
+    if sink not in level:
+        return False
+    at, path = [0] * len(graph), []
+    while True:
+        a = graph[path[-1][0]][path[-1][1]][0] if path else source
+        if a == sink:
+            amount = min(graph[v][i][1] for v, i in path)
+            for v, i in path:
+                graph[v][i][1] -= amount
+                graph[graph[v][i][0]][graph[v][i][3]][1] += amount
+            while graph[path[-1][0]][path[-1][1]][1] or any(not graph[v][i][1] for v, i in path[:-1]):
+                path.pop()  # back to before the first edge that is full
+            path.pop()
+            continue
+        while at[a] < len(graph[a]):
+            b, room, cost, _ = graph[a][at[a]]
+            if room and level.get(b) == level[a] + 1 and not cost + potential[a] - potential[b]:
+                path.append((a, at[a]))
+                break
+            at[a] += 1
+        else:
+            if not path:
+                return True
+            v, _ = path.pop()
+            at[v] += 1
+
+
 def place(doc_id: Column, seed: int) -> Column:
     """A 60-bit integer from the id and the seed."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
@@ -112,25 +143,38 @@ def plan(sized: DataFrame, weigh, most: int = 3) -> tuple[list, dict, dict]:
     return [(r.members, r.tokens, sum(f.values())) for r, f in zip(rows, found, strict=True)], sizes, wanted
 
 
-def take(docs: DataFrame, patterns: list, scratch: Scratch, seed: int) -> DataFrame:
-    """docs: (doc_id, members, size). Adds copies: how often each document is taken."""
+def take(docs: DataFrame, thin: DataFrame, patterns: list, seed: int, most: int = 3) -> DataFrame:
+    """docs: (doc_id, members, size, tie); thin: the same rows' first three columns. Adds copies: how often each is taken.
+
+    The border of a pattern is found bucket by bucket: the one in which the rest ends is cut again,
+    until it holds HELD rows at most or equal places alone.
+    """
     spark = docs.sparkSession
-    shape = "members array<string>, whole long, rest long"
-    quota = F.broadcast(spark.createDataFrame([(m, f // t if t else 0, f % t if t else 0) for m, t, f in patterns], shape))  # PATTERNS rows at most
-    same = lambda a, b: a["members"].eqNullSafe(b["members"])
-    docs = docs.withColumn("place", place(F.col("doc_id"), seed)).withColumn("bucket", F.shiftright("place", 60 - BUCKETS.bit_length() + 1))
-    sums = docs.groupBy("members", "bucket").agg(F.sum("size").alias("sum"))
-    order = Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("sum").over(order), F.lit(0)))
-    # The border: the last bucket that begins within the rest. All before it are taken, none behind it.
-    ahead = sums.join(quota, same(sums, quota)).where("base <= rest").select(sums["members"], F.col("bucket").alias("edge"), "base", "whole", "rest")
-    border = ahead.groupBy("members").agg(F.max(F.struct("edge", "base", "whole", "rest")).alias("b")).select("members", "b.*")
-    border = spark.createDataFrame(border.collect(), "members array<string>, edge long, base long, whole long, rest long")  # one row a pattern
-    joined = docs.join(F.broadcast(border), same(docs, border)).select(docs["*"], "edge", "base", "whole", "rest")
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("members").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = thin.withColumn("place", place(F.col("doc_id"), seed))
+    # One row a pattern: its first BITS bits of places (edge) lie on the border, base tokens before it.
+    border = [(m, f // t if t else 0, f % t if t else 0, 0, 0) for m, t, f in patterns]
+    shape = "members array<string>, whole long, rest long, edge long, base long"
+    bits, order = 0, Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+
+    def on(rows: DataFrame, border: list) -> DataFrame:
+        edges = spark.createDataFrame(border, shape)  # PATTERNS rows at most
+        return rows.join(F.broadcast(edges), rows["members"].eqNullSafe(edges["members"])).drop(edges["members"])
+
+    while bits < 60:
+        inside = on(placed, border).where(F.shiftrightunsigned("place", 60 - bits) == F.col("edge")) if bits else on(placed, border)
+        bits += BITS
+        sums = inside.withColumn("bucket", F.shiftrightunsigned("place", 60 - bits)).groupBy("members", "whole", "rest", "base", "bucket").agg(F.sum("size").alias("sum"), F.count("*").alias("rows"))
+        sums = sums.withColumn("start", F.col("base") + F.coalesce(F.sum("sum").over(order), F.lit(0)))
+        # The border: the last bucket that begins within the rest. All before it are taken, none behind it.
+        found = sums.where("start <= rest").groupBy("members").agg(F.max(F.struct("bucket", "start", "whole", "rest", "rows")).alias("b")).collect()
+        border = [(r.members, r.b.whole, r.b.rest, r.b.bucket, r.b.start) for r in found]
+        if max((r.b.rows for r in found), default=0) <= HELD:
+            break
+    joined = on(docs.withColumn("place", place(F.col("doc_id"), seed)).withColumn("bucket", F.shiftrightunsigned("place", 60 - bits)), border)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("members").orderBy("place", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = joined.where("bucket = edge").withColumn("more", (2 * (F.col("base") + before) + F.col("size") <= 2 * F.col("rest")).cast("int"))
     rest = joined.where("bucket != edge").withColumn("more", (F.col("bucket") < F.col("edge")).cast("int"))
-    return inside.union(rest).withColumn("copies", (F.col("whole") + F.col("more")).cast("int"))
+    return inside.union(rest).withColumn("copies", F.least(F.col("whole") + F.col("more"), F.lit(most)).cast("int"))
 
 
 def mix(docs: DataFrame, members: Column, weigh, most: int = 3, seed: int = 11, keep: list[str] = (), text: str = "text") -> tuple[DataFrame, dict, dict]:
@@ -141,10 +185,11 @@ def mix(docs: DataFrame, members: Column, weigh, most: int = 3, seed: int = 11,
     nothing. Repeated rows are documents of their own. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), members.alias("members"), size(F.col(text)).alias("size"), *keep)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), members.alias("members"), size(F.col(text)).alias("size"), *([text, *keep] if keep else []))
     thin = scratch.save(sized.select("doc_id", "members", "size"), "sized")
     patterns, sizes, wanted = plan(thin, weigh, most)
-    return take(sized if keep else thin, patterns, scratch, seed), sizes, wanted
+    docs = sized.withColumn("tie", F.xxhash64(text)) if keep else thin.withColumn("tie", F.lit(0))
+    return take(docs, thin, patterns, seed, most), sizes, wanted
 
 
 def cycle(weights: tuple[int, ...] = (5, 2, 1)):

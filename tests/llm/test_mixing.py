@@ -85,6 +85,41 @@ def test_too_many_patterns_are_an_error(docs, monkeypatch):
         run(docs([(k, "w", None, f"s{k}") for k in range(4)]))
 
 
+def test_border_is_cut_until_it_is_small(docs, monkeypatch):
+    rows = [(k, "w " * (k % 7), None, f"s{k % 4}") for k in range(800)]
+    want = {(r.doc_id, r.copies) for r in run(docs(rows))[0].collect()}
+    monkeypatch.setattr(mixing, "BITS", 2)
+    monkeypatch.setattr(mixing, "HELD", 3)
+    assert {(r.doc_id, r.copies) for r in run(docs(rows))[0].collect()} == want
+
+
+def test_texts_without_words_are_not_taken_too_often(docs):
+    rows = [(0, "w " * 10, None, "a"), *((k, "", None, "a") for k in range(1, 6)), *((k, "w " * 500, None, "b") for k in range(6, 9))]
+    mixed, sizes, wanted = run(docs(rows))
+    assert wanted["a"] == 3 * sizes["a"]
+    assert {r.copies for r in mixed.where("members[0] = 'a'").collect()} == {3}
+
+
+def test_repeated_ids_are_ordered_by_text(docs):
+    rows = [(5, f"t{k} " * 40, None, "a") for k in range(50)] + [(6, "x " * 9000, None, "b")]
+    mix = lambda df: sorted((r.text, r.copies) for r in mixing.mix(df.withColumn("own", F.col("text")), F.array("source"), mixing.cycle(), keep=["own"])[0].collect())
+    assert mix(docs(rows)) == mix(docs(rows[::-1]).repartition(5))
+
+
+def test_flow_over_many_patterns_is_quick():
+    import random
+    import time
+
+    random.seed(2)
+    members = [[k] for k in range(20)] + [sorted(random.sample(range(20), random.randint(2, 5))) for _ in range(1200)]
+    supplies = [random.randint(1, 10**6) for _ in members]
+    quotas = [random.randint(1, 10**8) for _ in range(20)]
+    began = time.time()
+    got = mixing.flow(supplies, members, quotas)
+    assert time.time() - began < 10
+    assert all(sum(g.values()) <= 3 * n for g, n in zip(got, supplies)) and all(sum(g.get(k, 0) for g in got) <= q for k, q in enumerate(quotas))
+
+
 def test_edges(edge, empty):
     mixed, sizes, _ = run(edge)
     rows = mixed.collect()
