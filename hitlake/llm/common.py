@@ -42,8 +42,19 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(BATCH, BATCH_BYTES)
 
 
+_memos: list[dict] = []
+
+
+def memo() -> dict:
+    """A table that a worker fills while it works on a partition, and empties at its end."""
+    _memos.append({})
+    return _memos[-1]
+
+
 def give_back() -> None:
-    """Memory that a worker has freed goes back to the system: idle workers live on beside busy ones."""
+    """A worker's memos, and memory it has freed, go back to the system: idle workers live on beside busy ones."""
+    for own in _memos:
+        own.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only this C library has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

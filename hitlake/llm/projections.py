@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map
+from .common import Scratch, arrow_map, memo
 from .components import components, forest
 
 MANY, LOSS, BLOCK, FEW = 24, 1e-4, 2048, 600
@@ -90,7 +90,7 @@ def _sent(kinds: DataFrame, least: float, cuts: int, seed: int) -> DataFrame:
     return arrow_map(kinds, kernel, "label string, length int, rep long, n long, vector array<float>, cell long, home boolean")
 
 
-_drawn: dict = {}
+_drawn = memo()
 
 
 def directions_of(seed: int, n: int, length: int) -> np.ndarray:

@@ -34,9 +34,7 @@ def tokenizer(name: str) -> str:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
-    return tokens.select("doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
 @query("op3_simhash_near_dedup")

@@ -29,15 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, arrow_rows, as_bytes
+from .common import Scratch, arrow_map, arrow_rows, as_bytes, memo
 
 WINDOW = 50
 #: Perfect difference sets by their period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-MEMO = 1 << 16
-_memo: dict[bytes, int] = {}
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+MEMO, AT_ONCE = 1 << 16, 1 << 15
+_memo = memo()
+_powers = memo()
 
 
 def period(window: int) -> int:
@@ -57,23 +57,25 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if base not in _powers or len(_powers[base][0]) < n:
-        n = 1 << max(12, n.bit_length())
+def _power(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, as many as a block of rolling() needs."""
+    if base not in _powers:
         back = pow(base, -1, 1 << 64)
-        _powers[base] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (base, back))
+        _powers[base] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * AT_ONCE - 1, b, np.uint64))]) for b in (base, back))
     return _powers[base]
 
 
 def rolling(h: np.ndarray, length: int, base: int) -> np.ndarray:
-    """A mixed 64-bit hash of each run of `length` words."""
-    if len(h) < length:
-        return np.zeros(0, np.uint64)
-    up, down = _power(base, len(h))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
-    x = (total[length:] - total[:-length]) * down[: len(h) - length + 1]
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    """A mixed 64-bit hash of each run of `length` <= AT_ONCE words; the sums go in blocks, so that long texts take little beside."""
+    up, down = _power(base)
+    out = np.zeros(max(0, len(h) - length + 1), np.uint64)
+    for at in range(0, len(out), AT_ONCE):
+        own = h[at : at + AT_ONCE + length - 1]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[: len(own)])])
+        x = (total[length:] - total[:-length]) * down[: len(own) - length + 1]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out[at : at + AT_ONCE] = x ^ (x >> np.uint64(29))
+    return out
 
 
 def windows(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_rows, as_bytes, bucketed
+from .common import arrow_map, arrow_rows, as_bytes, bucketed, memo
 from .words import plain_words, word_ids
 
 BITS = 20
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 17, most: int = MOST, bi
     return np.array(model.at, np.int32), np.array(model.w, np.float64), float(model.bias)
 
 
-_dense: dict = {}
+_dense = memo()
 
 
 def _table(at: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _ranks
-from .common import arrow_map
+from .common import arrow_map, memo
 
 NODES, LONG = 400_000, 512
 #: A total is its cost in millionths, shifted, plus the number of pieces.
@@ -82,7 +82,7 @@ class Counts:
         return found
 
 
-_made: dict[bytes, Counts] = {}
+_made = memo()
 
 
 def counts(ranks: bytes) -> Counts:

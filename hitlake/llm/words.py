@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import memo
+
 #: A-Z in lower case; 0-9, a-z and all bytes beyond ASCII as they are; a space for the rest.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MEMO = 1 << 16
-_ids: dict[bytes, int] = {}
+_ids = memo()
 
 
 def plain_words(text: bytes) -> list[bytes]:

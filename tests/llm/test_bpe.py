@@ -46,6 +46,17 @@ def test_round_trip_and_edges(spark, edge, whole):
         assert ids(raw) == whole.encode_ordinary(d.decode())
 
 
+def test_round_trip_in_one_worker(spark, edge, empty, whole):
+    texts = {r.doc_id: (r.text or "").encode() for r in edge.where("doc_id is not null").collect()}
+    for r in bpe.round_trip(edge, PATH, P.PATTERN, piece=1000).where("doc_id is not null").collect():
+        want = whole.encode_ordinary(texts[r.doc_id].decode())
+        assert ids(r.ids) == want and r.n_tokens == len(want)
+        assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id]).hexdigest()
+    assert bpe.round_trip(edge, PATH, P.PATTERN, ids=False).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert bpe.round_trip(empty, PATH, P.PATTERN).count() == 0
+
+
 def test_raw_bytes_need_not_be_text(spark):
     lone = [k for k in range(256)]
     raw = struct.pack(f"<{len(lone)}I", *lone)
