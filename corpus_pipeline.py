@@ -33,7 +33,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words under a window of 50 that also starts in a document with a smaller id go from the text; the document stays."""
+    """Words under a window of 50 that also starts in a document with a smaller id go from the text; the document stays.
+
+    So a text may become empty; its row then goes through the stages behind without words and tokens.
+    """
     _, changed = substring.changes(docs, Scratch(spark, "repeats"))
     name = "_whole"
     while name in docs.columns:
@@ -48,7 +51,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix takes them; sources weigh 5, 2, 1, repeating."""
+    """Documents stand as often as the mix takes them; sources weigh 5, 2, 1, repeating.
+
+    A null source is one source, the last; a null text has no words. Repeated rows are documents of
+    their own. Which rows of a source stand once more goes by a hash of the id, then of the text.
+    """
     keep = [c for c in docs.columns if c != "doc_id"]
     columns = {c: f"kept_{k}" for k, c in enumerate(keep)}
     named = docs.select("doc_id", F.col("text").alias("mixed_text"), F.col("source").alias("mixed_source"), *(F.col(c).alias(n) for c, n in columns.items()))
@@ -58,10 +65,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, bytes_sha256): packed token ids, and the hash of the bytes they decode to."""
-    path = public_tokenizers.path(VOCABULARY)
-    tokens = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
-    return tokens.select("doc_id", bpe.n_tokens().alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("bytes_sha256"))
+    """(doc_id, n_tokens, ids, bytes_sha256): packed token ids, and the hash of the bytes they decode to; a row for each row of docs.
+
+    A null text is an empty one, without tokens. Rows without an id keep a null one.
+    """
+    tokens = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return tokens.select("doc_id", "n_tokens", "ids", F.col("decoded_sha256").alias("bytes_sha256"))
 
 
 STAGES = [
