@@ -41,6 +41,16 @@ def is_ours(spark: SparkSession, path: str) -> bool:
     return set(spark.read.parquet(path).columns) >= MARKERS
 
 
+def is_legacy(spark: SparkSession, path: str) -> bool:
+    """A feature table of ours from before names told the method; a look at its columns tells, the name alone can't."""
+    return path.endswith("_features.parquet") and split_filename(path)[1] is None and is_ours(spark, path)
+
+
+def legacy_files(spark: SparkSession, folder: str) -> list[str]:
+    """Legacy tables of a folder, whether or not they have been migrated."""
+    return [p for p in _listed(spark, folder) if is_legacy(spark, p)]
+
+
 def discover(spark: SparkSession, folder: str, method: str = "globular", include_combined: bool = True) -> dict[str, str]:
     """{dataset: path}; other methods are ignored, and a conforming name beats a legacy one."""
     found: dict[str, str] = {}
@@ -128,6 +138,15 @@ def write_json(report: dict, path: str) -> None:
         json.dump(strict(report), file, indent=2, allow_nan=False)
 
 
+def read_report(path: str) -> dict:
+    """A report of a score; one that was written without its validation is an error."""
+    with open(path) as file:
+        report = json.load(file)
+    if "validation" not in report:
+        raise ValueError(f"{path} has no validation block")
+    return report
+
+
 def health_of_ids(df: DataFrame) -> DataFrame:
     """(n_rows, n_ids, n_surplus)."""
     return df.agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_ids")).withColumn("n_surplus", F.col("n_rows") - F.col("n_ids"))
