@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from .functions import masks as M
 from .functions import registry as R
+from .functions.arrays import crop_fill
 from .operators import clusters as C
 from .operators import dedupe as D
 from .operators import flags as O
+from .operators import injection as I
 from .operators import quality as Q
 from .operators import scoring as S
 from .operators import transforms as T
@@ -72,8 +74,6 @@ def features(spark: SparkSession, args: argparse.Namespace, out) -> None:
     for path in resolve_files(args.files, args.root):
         df = spark.read.parquet(str(path))
         if "img" in df.columns:
-            from .functions.arrays import crop_fill
-
             df = df.withColumn("img", crop_fill(F.col("img"), F.col("numChannels"), args.crop))
             df = R.with_cutout_features(R.with_catalogue_features(df), args.crop, tolerance(df)).drop("img").withColumn("stamp_ok", F.lit(True))
         else:
@@ -90,10 +90,13 @@ def features(spark: SparkSession, args: argparse.Namespace, out) -> None:
 def cluster(spark: SparkSession, args: argparse.Namespace, out) -> None:
     df = spark.read.parquet(str(resolve_files([args.file], args.root)[0])).where("feature_ok")
     columns = [c for c in (f"{c}_n" for c in R.all_columns() if not c.startswith("f08_") and not c.endswith("_saturated")) if c in df.columns]
-    scaled = T.scale(df, columns, args.scaling)
+    kinds = {f"{c}_n": k for c, k in R.column_kinds().items()}
     if args.report:
-        Q.column_audit(df, columns, {f"{c}_n": k for c, k in R.column_kinds().items()}).show(50, truncate=False)
+        Q.column_audit(df, columns, kinds, args.scaling, args.min_samples).show(50, truncate=False)
         return
+    if said := C.warning_of(args.scaling, args.cluster_selection_method):
+        print(f"warning: {said}")
+    scaled = T.scale(df, columns, args.scaling, kinds=kinds)
     space = [f"{c}_s" for c in columns]
     labels, trace = C.cluster_epochs(scaled, space, **{k: getattr(args, k) for k in CLUSTER})
     got = scaled.join(labels, "id")
@@ -119,7 +122,33 @@ def score(spark: SparkSession, args: argparse.Namespace, out) -> None:
     got = spark.read.parquet(f"{out}/{args.tag}all_scores.parquet")
     for name, part in S.catalogues(got, shortlist_below=args.shortlist_below, pruned_above=args.pruned_above).items():
         files.write_csv(part.select("id", "obsid", "frequency", "driftRate", "snr", "n_beams", "rfi_score", "verdict"), f"{out}/{args.tag}{name}.csv")
-    files.write_json({"validation": S.validate(got)}, f"{out}/{args.tag}report.json")
+    sets = {}
+    for name in S.feature_sets() if args.ablation else ():
+        part = [c for c in S.feature_columns(name) if c in df.columns]
+        if part and name != args.features:
+            own = S.fit_score(df, part, n_splits=args.folds, seed=args.seed, n_seeds=args.seeds, max_iter=args.max_iter).select("id", F.col("rfi_score").alias(f"score_{name}"))
+            got, sets = got.join(own, "id"), sets | {name: f"score_{name}"}
+    sets |= {args.features: "rfi_score"}
+    held = {"band": M.band_of(F.col("frequency")), "features": wanted, "seed": args.seed, "n_seeds": args.seeds, "max_iter": args.max_iter} if args.ablation else {}
+    files.write_json({"validation": S.validate(got, sets=sets, **held)}, f"{out}/{args.tag}report.json")
+
+
+def inject(spark: SparkSession, args: argparse.Namespace, out) -> None:
+    """Catalogues with a column img, and the feature table they belong to: signals of known strength, scored."""
+    table = spark.read.parquet(str(resolve_files([args.table or str(stage_folder(args.root, "features") / files.filename("all"))], args.root)[0]))
+    raw = [c for c in R.all_columns("cutout") if f"{c}_n" in table.columns and not c.endswith("_saturated")]
+    models, folds = S.fold_models(table, [f"{c}_n" for c in raw], n_splits=args.folds, seed=args.seed, n_seeds=args.seeds, max_iter=args.max_iter)
+    made = None
+    for path in resolve_files(args.files, args.root):
+        df = spark.read.parquet(str(path))
+        shape = df.where("img is not null").select(F.size("img").alias("steps"), F.abs("foff").alias("foff"), "tsamp").first()
+        df = df.withColumns({"img": crop_fill(F.col("img"), F.col("numChannels"), args.crop), "group_id": F.col("obsid")})
+        part = I.run(df, table, models, folds, raw, steps=shape.steps, channels=args.crop, df_hz=shape.foff * 1e6, dt_s=shape.tsamp, n_per_class=args.n, max_snr=args.max_snr, fluctuate=args.fluctuate, seed=args.seed)
+        made = part if made is None else made.unionByName(part, allowMissingColumns=True)
+    made.write.mode("overwrite").parquet(f"{out}/injections.parquet")
+    made = spark.read.parquet(f"{out}/injections.parquet")
+    told = I.injected_vs_real(made.where("kind = 'injected'"), table, [f"{c}_n" for c in raw], seed=args.seed, max_iter=args.max_iter)
+    files.write_json({"cells": I.report(made), "injected_vs_real": told}, f"{out}/injections_report.json")
 
 
 def info(spark: SparkSession, args: argparse.Namespace, out) -> None:
@@ -127,7 +156,7 @@ def info(spark: SparkSession, args: argparse.Namespace, out) -> None:
         D.file_info(spark.read.parquet(str(path))).show(truncate=False, vertical=True)
 
 
-COMMANDS = {"flag": (flag, "flags"), "features": (features, "features"), "cluster": (cluster, "clusters"), "score": (score, "scores"), "info": (info, "flags")}
+COMMANDS = {"flag": (flag, "flags"), "features": (features, "features"), "cluster": (cluster, "clusters"), "score": (score, "scores"), "inject": (inject, "scores"), "info": (info, "flags")}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -136,7 +165,7 @@ def parser() -> argparse.ArgumentParser:
     made = {name: sub.add_parser(name) for name in COMMANDS}
     for p in made.values():
         _options(p, {"workspace": "", "outdir": ""})
-    for name in ("flag", "features", "info"):
+    for name in ("flag", "features", "info", "inject"):
         made[name].add_argument("files", nargs="*")
     for name in ("cluster", "score"):
         made[name].add_argument("file", nargs="?", default="all")
@@ -146,7 +175,8 @@ def parser() -> argparse.ArgumentParser:
     _options(made["cluster"], CLUSTER | {"scaling": "robust", "match": False, "match_pct": 50.0, "report": False})
     made["cluster"].add_argument("--match-cut", type=float)
     made["cluster"].add_argument("--match-families", type=int)
-    _options(made["score"], SCORE | {"features": "stamp"})
+    _options(made["score"], SCORE | {"features": "stamp", "ablation": False})
+    _options(made["inject"], {"table": "", "crop": 60, "n": 150, "max_snr": 8.0, "fluctuate": False, "folds": 5, "seed": 0, "seeds": 1, "max_iter": 20})
     return top
 
 

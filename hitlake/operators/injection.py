@@ -11,10 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.registry import with_cutout_features
+from ..shared import saved
+from . import scoring
 from .dedupe import sample
+from .transforms import normalise_like
 
 DEFAULT_BANDWIDTH_HZ = 3.0
 PAD = -1.0
+#: Populations of substrates by beam count, both ends included.
+CLASSES = {"single": (1, 2), "mid": (3, 31), "multibeam": (32, 64)}
+#: Signal strengths and drifts of a run.
+SNRS, DRIFTS = (5, 8, 12, 20, 35, 60, 100), (0.0, 0.1, 0.3)
 
 
 def drift_track(steps: int, channels: int | Column, df_hz: float, dt_s: float, drift_hz_s: Column, centre: Column | None = None) -> Column:
@@ -109,3 +117,64 @@ def retention(df: DataFrame, score: str = "rfi_score") -> DataFrame:
 def matched_in_brightness(df: DataFrame, real_snr: Column, injected_snr: Column, within: float = 0.35) -> DataFrame:
     """Rows whose two SNRs agree in their logarithm."""
     return df.where(F.abs(F.log(F.greatest(real_snr, F.lit(1e-9))) - F.log(injected_snr)) < within)
+
+
+def run(hits: DataFrame, table: DataFrame, models: dict[int, list], folds: dict, raw: list[str], *, steps: int, channels: int, df_hz: float, dt_s: float, group: str = "group_id", n_per_class: int = 150, classes: dict[str, tuple[int, int]] = CLASSES,
+        snrs: tuple[float, ...] = SNRS, drifts: tuple[float, ...] = DRIFTS, max_snr: float = 8.0, bandwidth_hz: float = DEFAULT_BANDWIDTH_HZ, fluctuate: bool = False, seed: int = 0) -> DataFrame:
+    """One row a substrate and signal, with controls at SNR 0: what the score makes of signals that are known to be there.
+
+    hits: id, file, the group, snr, n_beams, numChannels and img (`steps` of `channels`). table: the stored features, raw and
+    normalised (`_n`), one row an id. Substrates are drawn for each class on its own. Injected cutouts go through the same
+    features as real ones, onto the curves of their file, and are scored by models that haven't seen their group.
+    stored_score is the score of the untouched hit's stored features, null where it has none. Cutouts that are
+    null can't be read and take no part.
+    """
+    repeated = table.groupBy("id").count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"id {repeated[0]['id']} stands on several rows of the feature table")
+    chosen, features = None, [f"{c}_n" for c in raw]
+    for name, beams in classes.items():
+        part = select_substrates(hits.where("img is not null"), n_per_class, max_snr, beams, seed).withColumn("substrate_class", F.lit(name))
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = saved(chosen.withColumns({"substrate_snr": F.col("snr"), "noise_sigma": A.noise_sigma(F.col("img"))}), "substrates")
+    made = inject(grid(chosen, snrs, drifts), steps, df_hz, dt_s, snr=F.col("inj_snr"), drift_hz_s=F.col("inj_drift"), bandwidth_hz=bandwidth_hz, fluctuate=fluctuate, seed=seed)
+    made = saved(with_cutout_features(made, channels, df_hz).drop("img"), "injected")
+    scored = scoring.predict_held_out(models, folds, normalise_like(table, made, raw), features, group)
+    stored = table.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")  # n_per_class a class
+    stored = scoring.predict_held_out(models, folds, stored, features, group).select("id", F.col("rfi_score").alias("stored_score"))
+    facts = {
+        "kind": F.when(F.col("inj_snr") == 0, "control").otherwise("injected"), "injected_ok": F.coalesce(F.col("noise_sigma") > 0, F.lit(False)), "fold_was_fallback": F.col("fold_used") < 0,
+        "fluctuate": F.lit(fluctuate), "bandwidth_hz": F.lit(float(bandwidth_hz)),
+    }
+    return scored.withColumns(facts).withColumnRenamed("out_of_range", "frac_out_of_range").join(stored, "id", "left")
+
+
+def report(injections: DataFrame) -> list[dict]:
+    """Of each class and signal: how many, how they score, and how far features lie outside what was trained on."""
+    per = injections.groupBy("substrate_class", "kind", "inj_snr", "inj_drift").agg(
+        F.count("*").alias("n"), F.avg("rfi_score").alias("mean_score"), F.avg("stored_score").alias("mean_stored_score"), F.avg((F.col("rfi_score") < 0.1).cast("double")).alias("frac_shortlist"),
+        F.avg((F.col("rfi_score") > 0.9).cast("double")).alias("frac_pruned"), F.avg("frac_out_of_range").alias("frac_out_of_range"), F.count_if("fold_was_fallback").alias("n_fallback"), F.avg("dedoppler_snr").alias("dedoppler_snr"),
+    )
+    return [r.asDict() for r in per.orderBy("substrate_class", "kind", "inj_snr", "inj_drift").collect()]
+
+
+def injected_vs_real(injected: DataFrame, real: DataFrame, features: list[str], *, within: float = 0.35, n_real: int = 4000, min_n: int = 200, seed: int = 0, max_iter: int = 20) -> dict:
+    """AUC of a classifier that tells injections from real hits of the same brightness, on two fifths that it hasn't seen.
+
+    Near a half, injections look like hits; near 1 the score's verdict on them means little. Real hits are a bounded sample of
+    those whose SNR is, in its logarithm, within reach of the injections' median one.
+    """
+    none = {"auc": float("nan"), "n_real": 0, "n_injected": injected.count()}
+    middle = injected.agg(F.percentile_approx("dedoppler_snr", 0.5, 10_000)).first()[0]
+    if not middle or middle <= 0:
+        return none
+    near = matched_in_brightness(real, F.col("snr"), F.lit(float(middle)), within)
+    n = near.count()
+    if n < min_n:
+        return none | {"n_real": n, "dedoppler": middle}
+    both = sample(near, n_real, "id", seed).select(*features, F.lit(0.0).alias("label"), F.xxhash64(F.lit(seed), "id").alias("_h"))
+    both = both.unionByName(injected.select(*features, F.lit(1.0).alias("label"), F.xxhash64(F.lit(seed), "id", "inj_snr", "inj_drift").alias("_h")))
+    both = saved(scoring.prepared(both, features).withColumn("held_out", F.pmod("_h", F.lit(5)) < 2), "discriminator")
+    model = scoring._trees(seed, max_iter, 4).fit(both.where("not held_out"))
+    got = scoring._mean_probability(both.where("held_out"), [model], "s")
+    return {"auc": scoring.roc_auc(got, "label", "s").first()[0], "n_real": min(n, n_real), "n_injected": none["n_injected"], "dedoppler": middle}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,14 @@ from ..functions.registry import all_columns
 from ..functions.running import running_sums
 from ..functions.scalars import binned, half_even, half_even_at
 from ..schema import FLAGS, finite
+from ..shared import saved
 
 #: Right-closed bins of the beam count, with an edge where labels begin.
 BEAM_EDGES = [0, 1, 2, 3, 5, 9, 17, 31, 32, 49, 65]
+#: Fixed value: files whose hits were selected before they were delivered; their labels don't mean what they mean elsewhere.
+PREFILTERED = ("mk_sample_hits",)
+#: Models that are fitted at the same time.
+AT_ONCE = 6
 THRESHOLDS = (0.02, 0.05, 0.10, 0.20, 0.30, 0.50, 0.70, 0.90)
 
 
@@ -40,12 +47,43 @@ def roc_auc(df: DataFrame, y: str = "y", s: str = "s", by: list[str] = ()) -> Da
     return got.groupBy(*by).agg(auc) if by else got.agg(auc)
 
 
-def average_precision(df: DataFrame, y: str = "y", s: str = "s") -> DataFrame:
-    """One row, ap: precision at each distinct score, weighted by the recall it adds."""
-    per = df.groupBy(s).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.count("*").alias("k"))
-    got = running_sums(per, s, ["p", "k"], descending=True)
+def average_precision(df: DataFrame, y: str = "y", s: str = "s", by: list[str] = ()) -> DataFrame:
+    """ap by group: precision at each distinct score, weighted by the recall it adds."""
+    per = df.groupBy(*by, s).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.count("*").alias("k"))
+    got = running_sums(per, s, ["p", "k"], list(by), descending=True)
     precision = (F.col("before_p") + F.col("p")) / (F.col("before_k") + F.col("k"))
-    return got.agg((F.sum(F.col("p") * precision) / F.when(F.sum("p") > 0, F.sum("p"))).alias("ap"))
+    ap = (F.sum(F.col("p") * precision) / F.when(F.sum("p") > 0, F.sum("p"))).alias("ap")
+    return got.groupBy(*by).agg(ap) if by else got.agg(ap)
+
+
+def group_metrics(df: DataFrame, by: list[str], y: str = "y", s: str = "s") -> DataFrame:
+    """(by, n, base_rate, auc): of files, of bands."""
+    facts = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(y) == 1).cast("double")).alias("base_rate"))
+    auc = roc_auc(df, y, s, by)
+    return facts.join(auc.select(*(F.col(c).alias(f"_{c}") for c in by), "auc"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*(f"_{c}" for c in by))
+
+
+def ablation(df: DataFrame, scores: dict[str, str], y: str = "y") -> DataFrame:
+    """(features, n, roc_auc, pr_auc): what each set of features is worth, from the columns that hold its scores."""
+    rows = df.select(y, F.inline(F.array(*(F.struct(F.lit(name).alias("features"), F.col(c).cast("double").alias("s")) for name, c in scores.items()))))
+    n = rows.groupBy("features").agg(F.count("*").alias("n"))
+    return n.join(roc_auc(rows, y, "s", ["features"]), "features").join(average_precision(rows, y, "s", ["features"]), "features").select("features", "n", F.col("auc").alias("roc_auc"), F.col("ap").alias("pr_auc"))
+
+
+def _in_files(files: tuple[str, ...], df: DataFrame) -> Column:
+    return F.coalesce(F.col("file").isin(*files), F.lit(False)) if files and "file" in df.columns else F.lit(False)
+
+
+def evaluation_rows(df: DataFrame, prefiltered: tuple[str, ...] = PREFILTERED) -> DataFrame:
+    """The rows that a reported figure may be computed over: labelled, and of a file that may be trained on."""
+    return df.where((F.col("weak_label") >= 0) & ~_in_files(prefiltered, df))
+
+
+def ood_block(df: DataFrame, score: str = "rfi_score", prefiltered: tuple[str, ...] = PREFILTERED) -> DataFrame:
+    """One row: what becomes of labelled hits of files that were selected beforehand, and AUC with them."""
+    known = df.where("weak_label >= 0").withColumns({"y": F.col("weak_label").cast("int"), "s": F.col(score)})
+    out = known.where(_in_files(prefiltered, df)).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_positive"), F.avg("s").alias("mean_score"), F.avg((F.col("s") > 0.5).cast("double")).alias("frac_scored_rfi"))
+    return out.crossJoin(roc_auc(known).withColumnRenamed("auc", "auc_including_it"))  # single rows
 
 
 def quantile_bins(df: DataFrame, column: str, q: int = 10) -> tuple[Column, list[float]]:
@@ -128,21 +166,35 @@ def prepared(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(parts), outputCol="features").transform(df.withColumns(parts)).drop(*parts)
 
 
-def fold_models(df: DataFrame, features: list[str], *, n_splits: int = 5, seed: int = 0, n_seeds: int = 1, max_iter: int = 20, max_depth: int = 4, group: str = "group_id") -> tuple[dict[int, list], dict]:
-    """Boosted trees for each fold, trained on labelled rows of the other folds; and the fold of each group."""
+def _trees(seed: int, max_iter: int, max_depth: int):
     from pyspark.ml.classification import GBTClassifier
 
+    return GBTClassifier(maxIter=max_iter, maxDepth=max_depth, maxBins=64, seed=seed, stepSize=0.2)
+
+
+def _fitted(jobs: list, fit) -> list:
+    """Several fits at once: each is many short jobs, which leave most of a cluster idle."""
+    with ThreadPool(min(AT_ONCE, len(jobs))) as pool:
+        return pool.map(fit, jobs)
+
+
+def fold_models(df: DataFrame, features: list[str], *, n_splits: int = 5, seed: int = 0, n_seeds: int = 1, max_iter: int = 20, max_depth: int = 4, group: str = "group_id", prefiltered: tuple[str, ...] = PREFILTERED) -> tuple[dict[int, list], dict]:
+    """Boosted trees for each fold, trained on evaluation rows of the other folds; and the fold of each group.
+
+    The assembled features are written once, and all models are trained from them.
+    """
     if n_seeds < 1:
         raise ValueError("n_seeds must be 1 or more")
     if {"weak_label", "n_beams_n", "beam_frac_n"} & set(features):
         raise ValueError("a feature gives the label away")
-    known = df.where("weak_label >= 0")
+    known = evaluation_rows(df, prefiltered)
     if known.select("weak_label").distinct().count() < 2:
         raise ValueError("labels of both classes are needed")
     folds = group_folds(known, group, n_splits)
-    ready = prepared(_with_fold(known, folds, group), features).select("features", F.col("weak_label").cast("double").alias("label"), "fold")
-    gbt = lambda s: GBTClassifier(maxIter=max_iter, maxDepth=max_depth, maxBins=64, seed=s, stepSize=0.2)
-    return {k: [gbt(seed + i).fit(ready.where(F.col("fold") != k)) for i in range(n_seeds)] for k in range(n_splits)}, folds
+    ready = saved(prepared(_with_fold(known, folds, group), features).select("features", F.col("weak_label").cast("double").alias("label"), "fold"), "folds")
+    jobs = [(k, i) for k in range(n_splits) for i in range(n_seeds)]
+    made = dict(zip(jobs, _fitted(jobs, lambda j: _trees(seed + j[1], max_iter, max_depth).fit(ready.where(F.col("fold") != j[0]))), strict=True))
+    return {k: [made[k, i] for i in range(n_seeds)] for k in range(n_splits)}, folds
 
 
 def _mean_probability(df: DataFrame, models: list, name: str) -> DataFrame:
@@ -155,23 +207,49 @@ def _mean_probability(df: DataFrame, models: list, name: str) -> DataFrame:
     return df.withColumn(name, total / len(models)).drop(*(f"_p{i}" for i in range(len(models))))
 
 
+def _by_fold(df: DataFrame, models: dict[int, list], folds: dict, features: list[str], group: str) -> DataFrame:
+    """Adds fold, and _by_fold: the mean score of each fold's models, in one pass over the rows."""
+    ready = prepared(_with_fold(df, folds, group), features)
+    for k, own in models.items():
+        ready = _mean_probability(ready, own, f"_s{k}")
+    return ready.withColumn("_by_fold", F.array(*(f"_s{k}" for k in models))).drop("features", *(f"_s{k}" for k in models))
+
+
 def predict_held_out(models: dict[int, list], folds: dict, df: DataFrame, features: list[str], group: str = "group_id", default_fold: int = 0) -> DataFrame:
     """rfi_score of each row by the models that haven't seen its group; fold_used is negative where no fold has the group."""
-    out, ready = None, prepared(_with_fold(df, folds, group), features)
-    for k, own in models.items():
-        mine = (F.col("fold") == k) | ((F.col("fold") == -1) & F.lit(k == default_fold))
-        part = _mean_probability(ready.where(mine), own, "rfi_score").withColumn("fold_used", F.when(F.col("fold") == -1, -1 - default_fold).otherwise(F.lit(k)))
-        out = part if out is None else out.unionByName(part)
-    return out.drop("features", "fold")
+    used = F.when(F.col("fold") == -1, default_fold).otherwise(F.col("fold"))
+    got = _by_fold(df, models, folds, features, group).withColumns({"rfi_score": F.get("_by_fold", used), "fold_used": F.when(F.col("fold") == -1, -1 - default_fold).otherwise(F.col("fold"))})
+    return got.drop("fold", "_by_fold")
 
 
-def fit_score(df: DataFrame, features: list[str], *, n_splits: int = 5, seed: int = 0, n_seeds: int = 1, max_iter: int = 20, group: str = "group_id") -> DataFrame:
-    """rfi_score: labelled rows by the models that haven't seen their group, all others by the mean of all models."""
+def fit_score(df: DataFrame, features: list[str], *, n_splits: int = 5, seed: int = 0, n_seeds: int = 1, max_iter: int = 20, group: str = "group_id", prefiltered: tuple[str, ...] = PREFILTERED) -> DataFrame:
+    """rfi_score: evaluation rows by the models that haven't seen their group, all others by the mean of all models."""
+    df = saved(df, "scored")
     features = _present(df, features)
-    models, folds = fold_models(df, features, n_splits=n_splits, seed=seed, n_seeds=n_seeds, max_iter=max_iter, group=group)
-    known = predict_held_out(models, folds, df.where("weak_label >= 0"), features, group).drop("fold_used")
-    rest = _mean_probability(prepared(df.where("weak_label < 0"), features), [m for own in models.values() for m in own], "rfi_score").drop("features")
-    return known.unionByName(rest)
+    models, folds = fold_models(df, features, n_splits=n_splits, seed=seed, n_seeds=n_seeds, max_iter=max_iter, group=group, prefiltered=prefiltered)
+    mean = F.aggregate("_by_fold", F.lit(0.0), lambda a, x: a + x) / F.size("_by_fold")
+    own = F.coalesce((F.col("weak_label") >= 0) & ~_in_files(prefiltered, df), F.lit(False))
+    return _by_fold(df, models, folds, features, group).withColumn("rfi_score", F.when(own, F.get("_by_fold", F.col("fold"))).otherwise(mean)).drop("fold", "_by_fold")
+
+
+def band_holdout(df: DataFrame, features: list[str], band: Column, *, seed: int = 0, n_seeds: int = 1, max_iter: int = 20, prefiltered: tuple[str, ...] = PREFILTERED, most: int = 64) -> DataFrame:
+    """Evaluation rows with `band` and rfi_score by models that were trained on the other bands alone.
+
+    Bands without labels of both classes among the others are left out; rows without a band take no part.
+    """
+    known = saved(prepared(evaluation_rows(df, prefiltered).withColumn("band", band).where("band is not null"), features), "bands")
+    counts = known.groupBy("band").agg(F.count_if(F.col("weak_label") == 1).alias("p"), F.count_if(F.col("weak_label") != 1).alias("n")).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} bands")
+    p, n = sum(r.p for r in counts), sum(r.n for r in counts)
+    bands = sorted(r.band for r in counts if p > r.p and n > r.n)
+    ready = known.withColumn("label", F.col("weak_label").cast("double"))
+    jobs = [(b, seed + i) for b in bands for i in range(n_seeds)]
+    made = dict(zip(jobs, _fitted(jobs, lambda j: _trees(j[1], max_iter, 4).fit(ready.where(F.col("band") != j[0]))), strict=True)) if jobs else {}
+    out = known.where("false").withColumn("rfi_score", F.lit(None).cast("double"))
+    for b in bands:
+        out = out.unionByName(_mean_probability(known.where(F.col("band") == b), [made[b, seed + i] for i in range(n_seeds)], "rfi_score"))
+    return out.drop("features")
 
 
 def _present(df: DataFrame, features: list[str]) -> list[str]:
@@ -186,7 +264,7 @@ def permutation_importance(models: dict[int, list], folds: dict, df: DataFrame,
     from .quality import shuffled
 
     part = some(_with_fold(df.where("weak_label >= 0"), folds, "group_id").where("fold = 0").select("id", "group_id", "weak_label", *features), sample, "id", seed)
-    part = part.checkpoint()
+    part = saved(part, "importance")
     auc = lambda d: roc_auc(predict_held_out(models, folds, d, features), "weak_label", "rfi_score").first()[0] or 0.0
     base, out = auc(part), []
     for c in features:
@@ -195,15 +273,35 @@ def permutation_importance(models: dict[int, list], folds: dict, df: DataFrame,
     return out
 
 
-def validate(df: DataFrame, score: str = "rfi_score") -> dict:
-    """The report of a score over labelled rows: overall, drifting hits, deciles of SNR, signals, files, beam counts."""
-    known = df.where("weak_label >= 0").select("*", F.col("weak_label").cast("int").alias("y"), F.col(score).alias("s"))
+def validate(df: DataFrame, score: str = "rfi_score", *, sets: dict[str, str] | None = None, band: Column | None = None, features: list[str] | None = None, prefiltered: tuple[str, ...] = PREFILTERED, **options) -> dict:
+    """The report of a score over evaluation rows: each block rules out one dull reason for a good figure.
+
+    sets: columns that hold the scores of feature sets, for the ablation. With a band and features, models are
+    trained anew with each band held out. Files that were selected beforehand appear in `ood` alone.
+    """
+    known = evaluation_rows(df, prefiltered).select("*", F.col("weak_label").cast("int").alias("y"), F.col(score).alias("s"))
     one = lambda d: d.first()[0]
+    rows = lambda d: [r.asDict() for r in d.collect()]
     parts = deciles(known, "snr").collect()
     fair = [r for r in parts if r.auc is not None]
-    return {
-        "roc_auc": one(roc_auc(known)), "pr_auc": one(average_precision(known)), "roc_auc_nonzero_drift": one(roc_auc(known.where("driftRate != 0"))),
+    drifting, signals = known.where("driftRate != 0"), signal_level(known)
+    of_signals = signals.agg(F.count("*").alias("n"), F.avg("n_hits").alias("rows"), F.count_if(F.col("n_hits") == 1).alias("single")).first()
+    report = {
+        "n_rows": df.count(), "n_evaluated": known.count(), "prefiltered": list(prefiltered), "base_rate": one(known.agg(F.avg("y"))),
+        "roc_auc": one(roc_auc(known)), "pr_auc": one(average_precision(known)), "roc_auc_nonzero_drift": one(roc_auc(drifting)),
+        "ablation": {r.features: {"roc_auc": r.roc_auc, "pr_auc": r.pr_auc} for r in ablation(known, sets).collect()} if sets else {},
+        "nonzero_drift": {"n": drifting.count()} | {name: one(roc_auc(drifting, "y", c)) for name, c in (sets or {"score": "s"}).items()},
         "within_snr": {"bins": [r.asDict() for r in parts], "weighted_auc": sum(r.n * r.auc for r in fair) / sum(r.n for r in fair) if fair else float("nan")},
-        "signal_level_auc": one(roc_auc(signal_level(known))), "per_file": {r["file"]: r["auc"] for r in roc_auc(known, by=["file"]).collect()} if "file" in df.columns else {},
-        "n_beams": [r.asDict() for r in beam_bins(df.withColumn("s", F.col(score))).orderBy("bin").collect()],
+        "signal_level_auc": one(roc_auc(signals)),
+        "signal_level": {"n_signals": of_signals.n, "rows_per_signal": of_signals.rows, "n_singletons": of_signals.single, "singleton_auc": one(roc_auc(signals.where("n_hits = 1")))},
+        "per_file": {r["file"]: r["auc"] for r in roc_auc(known, by=["file"]).collect()} if "file" in df.columns else {},
+        "files": rows(group_metrics(known, ["file"])) if "file" in df.columns else [],
+        "n_beams": rows(beam_bins(df.withColumn("s", F.col(score))).orderBy("bin")),
     }
+    ood = ood_block(df, score, prefiltered).first()
+    if ood.n:
+        report["ood"] = ood.asDict()
+    if band is not None:
+        held = band_holdout(df, features, band, prefiltered=prefiltered, **options).withColumn("y", F.col("weak_label").cast("int"))
+        report["cross_band"] = {r.band: {"n_test": r.n, "base_rate": r.base_rate, "auc": r.auc} for r in group_metrics(held, ["band"], "y", "rfi_score").collect()}
+    return report

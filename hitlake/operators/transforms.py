@@ -130,14 +130,14 @@ def robust(column: str, middle: float, iqr: float) -> Column:
     return clip((F.col(column) - middle) / (iqr if iqr > TINY_IQR else 1.0), -CLIP, CLIP)
 
 
-def scale(df: DataFrame, columns: list[str], scaling: str = "robust", stats: dict | None = None, weights: dict | None = None, suffix: str = "_s") -> DataFrame:
-    """Distance scaling: robust, robust-equalised, quantile or none."""
+def scale(df: DataFrame, columns: list[str], scaling: str = "robust", stats: dict | None = None, weights: dict | None = None, suffix: str = "_s", kinds: dict[str, str] | None = None) -> DataFrame:
+    """Distance scaling: robust, robust-equalised, quantile or none. kinds: of the columns; weights leave boolean ones and flags alone."""
     if scaling in ("robust", "robust-equalised"):
         stats = stats or robust_stats(df, columns)
         out = {c + suffix: robust(c, *stats[c]) for c in columns}
         if scaling == "robust-equalised":
             df = df.withColumns(out)
-            weights = weights or equalising_weights(df, [c + suffix for c in columns], {})
+            weights = weights or equalising_weights(df, [c + suffix for c in columns], {c + suffix: (kinds or {}).get(c) for c in columns})
             return df.withColumns({c + suffix: F.col(c + suffix) * float(weights[c + suffix]) for c in columns})
         return df.withColumns(out)
     if scaling == "quantile":
@@ -148,41 +148,100 @@ def scale(df: DataFrame, columns: list[str], scaling: str = "robust", stats: dic
     raise ValueError(f"unknown scaling {scaling!r}")
 
 
-def equalising_weights(df: DataFrame, columns: list[str], kinds: dict[str, str], ceiling: float = 5.0) -> dict[str, float]:
-    """Weights in proportion to 1 / deviation, with mean 1 over the free columns; boolean, flag and constant ones stay at 1."""
+#: The largest weight, and the ratio of weights beyond which their spread is worth a warning.
+CEILING, SPREAD = 5.0, 10.0
+
+
+def _balanced(weights: dict[str, float], free: list[str], cap: float | None) -> dict[str, float]:
+    """Mean 1 over the free columns, then capped (from above always, from below by a given cap); the others stay at 1."""
+    usable = {c: w if np.isfinite(w) and w > 0 else 1.0 for c, w in weights.items()}
+    middle = sum(usable[c] for c in free) / len(free) if free else 1.0
+    low, high = (1 / cap, min(CEILING, cap)) if cap else (0.0, CEILING)
+    return {c: min(high, max(low, w / middle)) if c in free else 1.0 for c, w in usable.items()}
+
+
+def weights_and_trace(df: DataFrame, columns: list[str], kinds: dict[str, str], *, strategy: str = "closed", iters: int = 0, damping: float = 0.5, cap: float | None = None, k: int = 8, queries: int = 20_000, seed: int = 0, key: str = "id") -> tuple[dict[str, float], dict]:
+    """Weights that even out each column's part of the distances, and how they came about.
+
+    closed: in proportion to 1 / deviation, which is exact for distances of random pairs. knn: damped
+    steps towards equal parts of the distances to the k nearest; it needn't converge, dev_trace tells.
+    hybrid: closed, then such steps. Boolean, flag and constant columns stay at 1.
+    """
+    from .quality import knn_share
+
+    if strategy not in ("closed", "knn", "hybrid"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     row = df.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
-    free = [c for c in columns if kinds.get(c) not in ("boolean", "flag") and (row[c] or 0) > TINY_IQR]
-    if not free:
-        return dict.fromkeys(columns, 1.0)
-    middle = sum(1 / row[c] for c in free) / len(free)
-    return {c: min(ceiling, 1 / row[c] / middle) if c in free else 1.0 for c in columns}
+    flat = [c for c in columns if (row[c] or 0) <= TINY_IQR]
+    free = [c for c in columns if kinds.get(c) not in ("boolean", "flag") and c not in flat]
+    weights, trace, n = dict.fromkeys(columns, 1.0), [], len(columns)
+    if strategy != "knn":
+        weights = _balanced({c: 1 / row[c] if c not in flat else 1.0 for c in columns}, free, cap)
+    for _ in range(iters if strategy != "closed" else 0):
+        weighted = df.select(key, *((F.col(c) * weights[c]).alias(c) for c in columns))
+        share = {r.feature: r.share for r in knn_share(weighted, columns, k, queries, seed, key).collect()}
+        share = {c: s if (s := share.get(c)) and s > 1e-9 else 1 / n for c in columns}
+        trace.append(max(abs(s * n - 1) for s in share.values()))
+        weights = _balanced({c: w * (1 / n / share[c]) ** damping for c, w in weights.items()}, free, cap)
+    weights = _balanced(weights, free, cap)
+    low, high = min(weights.values()), max(weights.values())
+    return weights, {
+        "strategy": strategy, "iters": iters, "skipped": [c for c in columns if kinds.get(c) in ("boolean", "flag")], "degenerate": flat, "dev_trace": trace,
+        "weight_min": low, "weight_max": high, "spread_warning": low > 0 and high / low > SPREAD,
+    }
+
+
+def equalising_weights(df: DataFrame, columns: list[str], kinds: dict[str, str], **options) -> dict[str, float]:
+    return weights_and_trace(df, columns, kinds, **options)[0]
+
+
+#: Points of a stored curve that go to the executors, about, and of all curves at most.
+GRID, POINTS = 4096, 4_000_000
+
+
+def curves(reference: DataFrame, columns: list[str], suffix: str = "_n", by: str = "file", grid: int = GRID) -> dict:
+    """{(file, column): (raw values in order, normalised ones)}: distinct points, the first normalised value of each.
+
+    A curve of more than `grid` points is thinned to about as many by a hash of the value; its ends stay.
+    """
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("raw"), F.col(c + suffix).cast("double").alias("norm")) for c in columns))
+    points = reference.select(F.col(by).cast("string").alias("file"), F.inline(pairs)).where(finite("raw") & finite("norm")).groupBy("file", "column", "raw").agg(F.min("norm").alias("norm"))
+    sizes = points.groupBy("file", "column").agg(F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high"))
+    kept = points.join(sizes, ["file", "column"]).where((F.pmod(F.xxhash64("raw"), F.col("n")) < grid) | (F.col("raw") == F.col("low")) | (F.col("raw") == F.col("high")))
+    rows = kept.select("file", "column", "raw", "norm").limit(POINTS + 1).toPandas()
+    if len(rows) > POINTS:
+        raise ValueError(f"more than {POINTS} points of curves: normalise fewer files at once")
+    return {key: (own["raw"].to_numpy(), own["norm"].to_numpy()) for key, own in rows.sort_values("raw", kind="stable").groupby(["file", "column"])}
 
 
 def normalise_like(reference: DataFrame, new: DataFrame, columns: list[str], suffix: str = "_n", by: str = "file") -> DataFrame:
     """New raw values on the stored curves (raw, normalised) of their file, interpolated; outside, the end's value.
 
-    A curve takes the first of tied raw values. Adds out_of_range, the share of columns beyond the
-    file's values. A file without a curve is an error. Curves go to the file's rows in one group.
+    Adds out_of_range, the share of columns beyond the file's values. A file without a curve is an
+    error. Curves are bounded and broadcast, so the new rows aren't shuffled.
     """
     wanted = [r[by] for r in new.select(by).distinct().join(reference.select(by).distinct(), by, "left_anti").limit(5).collect()]
     if wanted:
         raise ValueError(f"no reference rows for {wanted}")
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.schema) + "".join(f", {c}{suffix} double" for c in columns) + ", out_of_range double"
+    known = new.sparkSession.sparkContext.broadcast(curves(reference, columns, suffix, by))
+    shape = ", ".join(f"{c}{suffix} double" for c in columns) + ", out_of_range double"
 
-    def one(curve: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        outside = np.zeros(len(part))
+    @F.pandas_udf(shape)
+    def placed(rows: pd.DataFrame) -> pd.DataFrame:
+        out, outside = {}, np.zeros(len(rows))
         for c in columns:
-            known = curve[[c, c + suffix]].astype(float).dropna().drop_duplicates(c).sort_values(c)
-            v = part[c].astype(float).to_numpy()
-            part[c + suffix] = np.where(np.isfinite(v), np.interp(v, known[c], known[c + suffix]), np.nan) if len(known) else np.nan
-            if len(known):
-                outside += (v < known[c].iloc[0]) | (v > known[c].iloc[-1])
-        part["out_of_range"] = outside / max(len(columns), 1)
-        return part
-
-    # Distinct points only: a curve has no more of them than a file has raw values.
-    points = reference.select(by, *columns, *(c + suffix for c in columns))
-    return points.groupBy(by).cogroup(new.groupBy(by)).applyInPandas(one, shape)
+            v, y = rows[c].to_numpy(float), np.full(len(rows), np.nan)
+            for file in rows["file"].dropna().unique():
+                if curve := known.value.get((file, c)):
+                    at = (rows["file"] == file).to_numpy()
+                    y[at] = np.where(np.isfinite(v[at]), np.interp(v[at], *curve), np.nan)
+                    outside[at] += (v[at] < curve[0][0]) | (v[at] > curve[0][-1])
+            out[c + suffix] = y
+        return pd.DataFrame(out | {"out_of_range": outside / max(len(columns), 1)})
+
+    given = F.struct(F.col(by).cast("string").alias("file"), *(F.col(c).cast("double").alias(c) for c in columns))
+    done = new.withColumn("_like", placed(given))
+    return done.select(*new.columns, *(F.nanvl(f"_like.{c}{suffix}", F.lit(None)).alias(c + suffix) for c in columns), "_like.out_of_range")
 
 
 def distance_share(df: DataFrame, columns: list[str]) -> DataFrame:

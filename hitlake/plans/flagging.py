@@ -124,7 +124,7 @@ def _(spark, sf_dir):
 
 STEPS = list(O.MEANINGS.items())
 CUT_SQL = f"with {FLAGGED_SQL}, n as (select count(*) as n from flagged) " + " union all ".join(
-    f"select {k}::int as step, '{text}' as cut, count(*) filter ({f}) as flagged_alone, 100.0::double * count(*) filter ({f}) / max(n.n) as pct_alone, "
+    f"select {k}::int as step, '{text.replace("'", "''")}' as cut, count(*) filter ({f}) as flagged_alone, 100.0::double * count(*) filter ({f}) / max(n.n) as pct_alone, "
     f"count(*) filter ({f} and not ({before})) as removed_here, count(*) filter (not ({before} or {f})) as remaining, 100.0::double * count(*) filter (not ({before} or {f})) / max(n.n) as pct_remaining from flagged, n"
     for k, (f, text) in enumerate(STEPS)
     for before in [" or ".join([x for x, _ in STEPS[:k]] or ["false"])]

@@ -9,8 +9,10 @@ from ..functions.registry import with_cutout_features
 from ..operators import flags as O
 from ..operators import injection as I
 from ..operators import transforms as T
+from ..operators.scoring import fold_models
 from ..sources.adapters import HITS_SQL, SPECTRA_SQL, cubes, hits
 from ..sources.files import health_of_ids
+from ..shared import shared_dir
 from ..streaming import flags as S
 from .catalogue import query
 from .flagging import FIRST
@@ -46,11 +48,13 @@ def _(spark, sf_dir):
     return with_cutout_features(df, 8, DF).drop("img")
 
 
-@query("normalise_like")
+@query("normalise_like", f"""with {HITS_SQL}, k as (select file, snr as x, min((log10(snr) - lo) / (hi - lo)) as y from hits join (select file, log10(min(snr)) as lo, log10(max(snr)) as hi from hits group by 1) using (file) group by 1, 2),
+n as (select id, file, snr * 1.1::double as x from hits), a as (select n.*, k.x as x0, k.y as y0 from n asof left join k on n.file = k.file and n.x >= k.x), b as (select a.*, k.x as x1, k.y as y1 from a asof left join k on a.file = k.file and a.x <= k.x)
+select id, round(case when x0 is null then y1 when x1 is null or x1 = x0 then y0 else y0 + (x - x0) / (x1 - x0) * (y1 - y0) end, 6) as snr_n, (x0 is null or x1 is null)::int::double as out_of_range from b""")
 def _(spark, sf_dir):
     known, _ = T.normalise(hits(spark, sf_dir).select("id", "file", "snr"), {"snr": "log-unit"})
     new = hits(spark, sf_dir).select("id", "file", (F.col("snr") * 1.1).alias("snr"))
-    return T.normalise_like(known, new, ["snr"])
+    return T.normalise_like(known, new, ["snr"]).select("id", F.round("snr_n", 6).alias("snr_n"), "out_of_range")
 
 
 @query("retention", f"""with {HITS_SQL}, c as (select h.id, s, d from hits h, (values (5.0::double, 0.0::double), (5, 0.1), (20, 0), (20, 0.1), (0, 0)) g(s, d)), r as (select s as inj_snr, d as inj_drift, ((id * 31 + s::bigint) % 1000) / 1000.0::double as x from c)
@@ -68,16 +72,19 @@ def _(spark, sf_dir):
 
 @query("stream_flags", f'with {HITS_SQL} select id, {FIRST} as rfi_band_label, "driftRate" = 0 as flag_zero_drift, snr > 200 as flag_snr_high from hits')
 def _(spark, sf_dir):
-    return S.drain(S.stateless(_stream(spark, sf_dir), snr_max=200.0), _folder(spark)).select("id", "rfi_band_label", "flag_zero_drift", "flag_snr_high")
+    return S.drain(S.stateless(_stream(spark, sf_dir), snr_max=200.0), shared_dir(spark)).select("id", "rfi_band_label", "flag_zero_drift", "flag_snr_high")
 
 
 @query("stream_persistence", f"""with {HITS_SQL}, t as (select h.*, r.ts from hits h join raw r on r.event_id = h.id) select time_bucket(interval 7 days, ts, timestamp '1970-01-01') as start, round_even(frequency * 1e6 / 1e7, 0)::bigint as f_bin, count(*) as n_hits, count(distinct obsid)::int as n_obs from t group by 1, 2""")
 def _(spark, sf_dir):
-    return S.drain(S.persistence(_stream(spark, sf_dir), window="7 days", tol_hz=1e7), _folder(spark), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return S.drain(S.persistence(_stream(spark, sf_dir), window="7 days", tol_hz=1e7), shared_dir(spark), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+#: As above, but only the windows that the watermark has closed, each once: state doesn't outlive them.
+@query("stream_persistence_closed", f"""with {HITS_SQL}, t as (select h.*, r.ts from hits h join raw r on r.event_id = h.id), w as (select time_bucket(interval 7 days, ts, timestamp '1970-01-01') as start, round_even(frequency * 1e6 / 1e7, 0)::bigint as f_bin, count(*) as n_hits, count(distinct obsid)::int as n_obs from t group by 1, 2)
+select * from w where start + interval 7 days <= (select max(ts) from t) - interval 1 hour""")
+def _(spark, sf_dir):
+    return S.drain(S.persistence(_stream(spark, sf_dir), window="7 days", tol_hz=1e7), shared_dir(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def _stream(spark, sf_dir):
@@ -90,3 +97,15 @@ def _stream(spark, sf_dir):
 @query("id_surplus", "select count(*) as n_rows, count(distinct l_orderkey) as n_ids, count(*) - count(distinct l_orderkey) as n_surplus from lineitem")
 def _(spark, sf_dir):
     return health_of_ids(spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("id", F.col("l_orderkey")))
+
+
+@query("injection_run")
+def _(spark, sf_dir):
+    """Vectors as cutouts of the hits of the same number; two features, three folds."""
+    raw = ["f04_spectral_skew", "x02_time_occupancy"]
+    cut = cubes(spark, sf_dir).select("id", "img")
+    df = O.beam_multiplicity(hits(spark, sf_dir), 5e6, 1).join(cut, "id").withColumns({"numChannels": F.lit(8), "group_id": F.col("obsid"), "weak_label": F.when(F.col("n_beams") >= 4, 1).when(F.col("n_beams") <= 2, 0).otherwise(-1)})
+    stored = T.normalise(with_cutout_features(df, 8, DF).drop("img"), {c: "unit" for c in raw})[0]
+    models, folds = fold_models(stored, [f"{c}_n" for c in raw], n_splits=3, max_iter=3)
+    got = I.run(df, stored, models, folds, raw, steps=STEPS, channels=8, df_hz=DF, dt_s=DT, n_per_class=40, classes={"single": (1, 2), "more": (3, 64)}, snrs=(10, 100), drifts=(0.0, 0.1), max_snr=1e3)
+    return got.select("id", "substrate_class", "kind", "inj_snr", "inj_drift", "rfi_score", "stored_score", "frac_out_of_range", "fold_used")

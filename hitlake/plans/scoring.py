@@ -27,25 +27,34 @@ def _(spark, sf_dir):
     return Q.step_up(tests, "p").select("id", "significant")
 
 
-@query("knn_share", """with v as (select vec_id as id, embedding::double[] as v from embeddings), d as (select a.id, b.id as o, [(a.v[1] - b.v[1]) ** 2, (a.v[2] - b.v[2]) ** 2, (a.v[3] - b.v[3]) ** 2, (a.v[4] - b.v[4]) ** 2] as d from v a join v b on a.id <> b.id),
-r as (select *, row_number() over (partition by id order by list_sum(d), o) as k from d), s as (select sum(d[1]) as a, sum(d[2]) as b, sum(d[3]) as c, sum(d[4]) as e from r where k <= 8)
-select 'c0' as feature, round(a / (a + b + c + e), 6) as share from s union all select 'c1', round(b / (a + b + c + e), 6) from s union all select 'c2', round(c / (a + b + c + e), 6) from s union all select 'c3', round(e / (a + b + c + e), 6) from s""")
-def _(spark, sf_dir):
-    few = spectra(spark, sf_dir).select("id", *(F.col("v")[k].alias(f"c{k}") for k in range(4)))
-    return Q.knn_share(few, [f"c{k}" for k in range(4)]).select("feature", F.round("share", 6).alias("share"))
-
+#: Every component of the vectors.
+DEEP = 64
+KNN_SQL = """d as (select a.id, b.id as o, list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) ** 2) as d from zz a join zz b on a.id <> b.id),
+r as (select *, row_number() over (partition by id order by list_sum(d), o) as k from d), s as (select unnest(d) as d, unnest(range(1, len(d) + 1)) as j from r where k <= 8), near as (select j, sum(d) as s from s group by j)"""
 
-AUDIT = """select '{c}' as feature, '{k}' as kind, (select count(distinct "{c}") from hits) as n_distinct, (select max(k)::double from (select count(*) as k from hits group by "{c}")) / (select count(*) from hits) as tie_frac,
-  round((select quantile_cont("{c}", 0.75) - quantile_cont("{c}", 0.25) from hits), 6) as iqr, round((select avg((abs(("{c}" - m) / q) >= 5)::int) from hits, (select quantile_cont("{c}", 0.5) as m, quantile_cont("{c}", 0.75) - quantile_cont("{c}", 0.25) as q from hits)), 9) as clip_frac"""
 
-
-@query("column_audit", f"with {HITS_SQL}, a as (" + " union all ".join(AUDIT.format(c=c, k=k) for c, k in (("snr", "continuous"), ("driftRate", "ordinal"), ("power", "continuous"))) + """)
-select feature, kind, n_distinct, tie_frac, iqr, clip_frac, concat_ws(',', case when tie_frac > 0.10 then 'ties' end, case when clip_frac > 0.01 then 'clipped' end) as flags from a where feature <> 'power'
-union all select feature, kind, n_distinct, tie_frac, round(iqr / 1e15, 6), clip_frac, concat_ws(',', case when tie_frac > 0.10 then 'ties' end, case when clip_frac > 0.01 then 'clipped' end) from a where feature = 'power'""")
+@query("knn_share", f"""with zz as (select vec_id as id, embedding::double[] as z from embeddings), {KNN_SQL} select 'c' || (j - 1) as feature, round(s / (select sum(s) from near), 6) as share from near""")
+def _(spark, sf_dir):
+    columns = [f"c{k}" for k in range(DEEP)]
+    return Q.knn_share(spectra(spark, sf_dir).select("id", *(F.col("v")[k].alias(c) for k, c in enumerate(columns))), columns).select("feature", F.round("share", 6).alias("share"))
+
+
+#: All components and the label, as an ordinal column, robustly scaled.
+@query("column_audit", f"""with v as (select vec_id as id, list_append(embedding::double[], label::double) as v from embeddings), l as (select id, unnest(v) as x, unnest(range(1, {DEEP + 2})) as j from v),
+q as (select j, quantile_cont(x, 0.5) as m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) as iqr from l group by j), z as (select id, j, x, iqr, (x - m) / iqr as raw, least(5, greatest(-5, (x - m) / iqr)) as z from l join q using (j)),
+zz as (select id, list(z order by j) as z from z group by id), {KNN_SQL},
+far as (select j, var_pop(z) as s from z group by j), t as (select j, x, count(*) as k from l group by 1, 2), ties as (select j, count(*) as n_distinct, max(k)::double as most, arg_min(x, struct_pack(a := -k, b := x)) as tie_value from t group by j),
+f as (select j, count(*) as n, avg((abs(raw) >= 5)::int) as clip_frac, max(iqr) as iqr, quantile_cont(z, 0.75) - quantile_cont(z, 0.25) as iqr_scaled from z group by j),
+a as (select case when j = {DEEP + 1} then 'label' else 'c' || (j - 1) end as feature, case when j = {DEEP + 1} then 'ordinal' else 'continuous' end as kind, n_distinct, most / n as tie_frac, tie_value, iqr, iqr_scaled, clip_frac,
+  far.s / (select sum(s) from far) as share_global, near.s / (select sum(s) from near) as share_knn, 1 / {DEEP + 1}.0::double as equal_share from ties join f using (j) join far using (j) join near using (j))
+select feature, kind, n_distinct, tie_frac, round(tie_value, 6) as tie_value, round(iqr, 6) as iqr, round(iqr_scaled, 6) as iqr_scaled, round(clip_frac, 9) as clip_frac, 1.0::double as weight, round(share_global, 6) as share_global, round(share_knn, 6) as share_knn, equal_share,
+  concat_ws(',', case when tie_frac > 0.10 then 'tie' end, case when clip_frac > 0.01 then 'clip' end, case when share_knn > 2 * equal_share then 'share-high' when share_knn < 0.5 * equal_share then 'share-low' end,
+    case when share_global / share_knn >= 2.5 or share_global / share_knn <= 1 / 2.5 then 'share-disagree' end) as flags from a""")
 def _(spark, sf_dir):
-    got = Q.column_audit(hits(spark, sf_dir), ["snr", "driftRate", "power"], {"driftRate": "ordinal"})
-    iqr = F.when(F.col("feature") == "power", F.col("iqr") / 1e15).otherwise(F.col("iqr"))
-    return got.select("feature", "kind", "n_distinct", "tie_frac", F.round(iqr, 6).alias("iqr"), F.round("clip_frac", 9).alias("clip_frac"), "flags")
+    columns = [f"c{k}" for k in range(DEEP)]
+    df = spectra(spark, sf_dir).select("id", *(F.col("v")[k].alias(c) for k, c in enumerate(columns)), F.col("label").cast("double").alias("label"))
+    got = Q.column_audit(df, [*columns, "label"], {"label": "ordinal"})
+    return got.select("feature", "kind", "n_distinct", "tie_frac", *(F.round(c, 6).alias(c) for c in ("tie_value", "iqr", "iqr_scaled")), F.round("clip_frac", 9).alias("clip_frac"), "weight", *(F.round(c, 6).alias(c) for c in ("share_global", "share_knn")), "equal_share", "flags")
 
 
 @query("cluster_quality")
@@ -111,12 +120,54 @@ def _(spark, sf_dir):
     return got.select("threshold", F.round("retained", 9).alias("retained"), "n_shortlist", F.round("shortlist_frac", 9).alias("shortlist_frac"), F.round("retained_per_admitted", 6).alias("retained_per_admitted"))
 
 
-@query("group_folds")
+@query("group_folds", f"""with recursive {HITS_SQL}, g as (select obsid, count(*) as n, row_number() over (order by count(*) desc, obsid) as k from hits group by 1),
+f(k, fold, w) as (select 0::bigint, -1::bigint, [0::bigint, 0, 0, 0, 0] union all select f.k + 1, (list_position(w, list_min(w)) - 1)::bigint, list_transform(w, lambda x, i: case when i = list_position(w, list_min(w)) then x + g.n else x end) from f join g on g.k = f.k + 1)
+select obsid as group_id, fold::int as fold from f join g using (k)""")
 def _(spark, sf_dir):
     folds = S.group_folds(hits(spark, sf_dir).withColumn("group_id", F.col("obsid")))
     return spark.createDataFrame(list(folds.items()), "group_id string, fold int")
 
 
+BOTH = f"{SCORES_SQL}, two as (select 'length' as features, y, s from scored union all select 'number', y, (id * 31 % 1000) / 1000.0::double from scored)"
+
+
+@query("ablation", f"""with {BOTH}, r as (select features, y, (rank() over (partition by features order by s) + count(*) over (partition by features, s) / 2.0 - 0.5) as k from two),
+d as (select features, s, sum(y) as p, count(*) as k from two group by 1, 2), c as (select features, p, sum(p) over (partition by features order by s desc) as cp, sum(k) over (partition by features order by s desc) as ck from d),
+auc as (select features, count(*) as n, (sum(k) filter (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) as a from r group by 1), ap as (select features, sum(p * cp::double / ck) / sum(p) as a from c group by 1)
+select features, n, round(auc.a, 9)::double as roc_auc, round(ap.a, 9) as pr_auc from auc join ap using (features)""")
+def _(spark, sf_dir):
+    got = S.ablation(scores(spark, sf_dir).withColumn("t", (F.col("id") * 31 % 1000) / 1000.0), {"length": "s", "number": "t"})
+    return got.select("features", "n", F.round("roc_auc", 9).alias("roc_auc"), F.round("pr_auc", 9).alias("pr_auc"))
+
+
+@query("group_metrics", f"""with {SCORES_SQL}, w as (select a.grp, avg(case when a.s > b.s then 1.0 when a.s = b.s then 0.5 else 0 end) as auc from scored a join scored b on a.grp = b.grp and a.y = 1 and b.y <> 1 group by 1)
+select g.grp, n, round(base_rate, 9) as base_rate, round(w.auc, 9)::double as auc from (select grp, count(*) as n, avg(y) as base_rate from scored group by 1) g left join w on w.grp = g.grp""")
+def _(spark, sf_dir):
+    return S.group_metrics(scores(spark, sf_dir), ["grp"]).select("grp", "n", F.round("base_rate", 9).alias("base_rate"), F.round("auc", 9).alias("auc"))
+
+
+#: Two sources stand for files that were selected beforehand.
+APART = ("src1", "src2")
+LABELLED_SQL = f"{SCORES_SQL}, df as (select id, grp as file, case when id % 11 = 0 then -1 else y end as weak_label, s / 20000 as rfi_score from scored)"
+
+
+def _labelled_scores(spark, sf_dir):
+    return scores(spark, sf_dir).select("id", F.col("grp").alias("file"), F.when(F.col("id") % 11 == 0, -1).otherwise(F.col("y")).alias("weak_label"), (F.col("s") / 20000).alias("rfi_score"))
+
+
+@query("evaluation_rows", f"with {LABELLED_SQL} select id from df where weak_label >= 0 and file not in {APART}")
+def _(spark, sf_dir):
+    return S.evaluation_rows(_labelled_scores(spark, sf_dir), APART).select("id")
+
+
+@query("ood_block", f"""with {LABELLED_SQL}, known as (select * from df where weak_label >= 0), r as (select weak_label as y, (rank() over (order by rfi_score) + count(*) over (partition by rfi_score) / 2.0 - 0.5) as k from known),
+o as (select count(*) as n, count(*) filter (weak_label = 1) as n_positive, round(avg(rfi_score), 9) as mean_score, round(avg((rfi_score > 0.5)::int), 9) as frac_scored_rfi from known where file in {APART})
+select o.*, (select round((sum(k) filter (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 9)::double from r) as auc_including_it from o""")
+def _(spark, sf_dir):
+    got = S.ood_block(_labelled_scores(spark, sf_dir), prefiltered=APART)
+    return got.select("n", "n_positive", *(F.round(c, 9).alias(c) for c in ("mean_score", "frac_scored_rfi", "auc_including_it")))
+
+
 def labelled(spark, sf_dir):
     df = O.weak_labels(flagged(spark, sf_dir), 3, 1)
     return T.normalise(O.derived(df), {"frequency": "unit", "log_snr": "unit", "abs_drift": "unit"})[0]
@@ -124,5 +175,11 @@ def labelled(spark, sf_dir):
 
 @query("fit_score")
 def _(spark, sf_dir):
-    got = S.fit_score(labelled(spark, sf_dir), ["frequency_n", "log_snr_n", "abs_drift_n"], n_splits=3, max_iter=5)
+    got = S.fit_score(labelled(spark, sf_dir), ["frequency_n", "log_snr_n", "abs_drift_n"], n_splits=5, max_iter=5)
     return got.select("id", "weak_label", "rfi_score")
+
+
+@query("band_holdout")
+def _(spark, sf_dir):
+    got = S.band_holdout(labelled(spark, sf_dir), ["frequency_n", "log_snr_n", "abs_drift_n"], F.col("file"), max_iter=5)
+    return S.group_metrics(got.withColumn("y", F.col("weak_label").cast("int")), ["band"], "y", "rfi_score")

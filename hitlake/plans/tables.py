@@ -64,8 +64,8 @@ def _(spark, sf_dir):
 
 @query("principal_components")
 def _(spark, sf_dir):
-    got = spectra(spark, sf_dir).select("id", *(F.col("v")[k].alias(f"c{k}") for k in range(8)))
-    return T.principal_components(got, [f"c{k}" for k in range(8)]).select("id", "pc1", "pc2")
+    got = spectra(spark, sf_dir).select("id", *(F.col("v")[k].alias(f"c{k}") for k in range(64)))
+    return T.principal_components(got, [f"c{k}" for k in range(64)]).select("id", "pc1", "pc2")
 
 
 @query("dedupe_by_id", """with s as (select l_returnflag, count(*) as n from lineitem group by 1), r as (select l.*, row_number() over (partition by l_orderkey, l_linenumber order by n desc, l.l_returnflag, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as k from lineitem l join s using (l_returnflag))

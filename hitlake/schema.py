@@ -6,20 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The columns of hits, as files of them have them.
 HITS = T.StructType([
     *(T.StructField(n, T.LongType()) for n in ("id", "row")),
     *(T.StructField(n, T.IntegerType()) for n in ("index", "beam", "coarseChannel", "startChannel", "numChannels", "numTimesteps", "driftSteps")),
     *(T.StructField(n, T.DoubleType()) for n in ("frequency", "driftRate", "snr", "power", "incoherentPower", "ra", "dec", "fch1", "foff", "tsamp", "tstart")),
     *(T.StructField(n, T.StringType()) for n in ("sourceName", "obsid", "file")),
 ])
-STAMPS = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType()), T.StructField("stamp", T.ArrayType(T.ArrayType(T.FloatType())))])
 
-#: Flags in the order in which a survivor must pass them.
+#: Flags in the order in which a survivor must pass them.
 FLAGS = ["flag_rfi_band", "flag_zero_drift", "flag_drift_high", "flag_snr_low", "flag_snr_high", "flag_multibeam", "flag_incoherent", "flag_repeat"]
 
-#: Columns that features carry along from the catalogue, where they exist.
-PROVENANCE = ["id", "row", "file", "obsid", "sourceName", "beam", "frequency", "driftRate", "snr", "n_beams", "n_beams_formed", "beam_frac", "n_obs_at_freq", "pass_all", "rfi_band_label", "numChannels", "foff", "tsamp"]
-
 
 def finite(column: str):
     """True for a number that is there and is neither NaN nor infinite."""
