@@ -1,24 +1,24 @@
 """License scans with a positional rare-token index.
 
-Templates are word sequences with a label: short phrases that must stand whole, and longer grants
-and notices, each with mandatory key phrases. The index maps a template word to its postings
-(template, position).
+Parts are word sequences that must stand whole: the phrases of the base, and the mandatory key phrases of
+longer grants and notices. The index has each part under its rarest word (IDF over all documents),
+with the places of its other words, rarest first.
 
-A document's licence words are looked up from the rarest on (IDF over all documents). Each hit
-votes for an alignment: a template and the place where its first word would stand. Postings of
-other words that agree on that place add to its votes. An alignment counts where the template's
-key phrases stand at their places (or within DRIFT words of them, for edited copies) and enough of
-its words agree.
+A document's licence words are looked up from the rarest on. Every place of such a word says where
+a part would start; the part's other postings are intersected with these starts by relative position,
+rarest first, until none is left or all words agree. So no place of a part is missed, frequent words
+cost nothing, and no text is cut short.
 
-Phrases (the base) are exact: each is found through its own rarest word and then compared word by
-word, so no place is missed. Grants are looked up through the LOOKUPS rarest of their own words,
-every occurrence of each, so frequent words cost nothing and no text is cut short.
+A grant counts where all its key phrases stand, in their places relative to each other or off by
+DRIFT words at most, and enough of its words follow in order (longest common subsequence with the
+text there): edited copies may leave words out, put some in or replace some.
 
 Index and frequencies are bounded by the templates, not by the corpus.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from math import log
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, as_bytes, prepare
 from .words import plain_words
 
-LOOKUPS, DRIFT, ENOUGH = 6, 3, 0.7
+DRIFT, ENOUGH = 8, 0.7
 
 #: Phrases and their labels.
 PHRASES = {
@@ -61,60 +61,82 @@ def _find(words: list[bytes], part: list[bytes]) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(part)] == part)
 
 
+def common(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
+    """Length of the longest common subsequence of a template of n words, given the places of each as bits, and a text."""
+    whole = left = (1 << n) - 1
+    for w in words:
+        if met := left & masks.get(w, 0):
+            left = (left + met | left - met) & whole
+    return n - left.bit_count()
+
+
 class Index:
-    """Postings of the templates, given how many of n documents have each template word."""
+    """Postings of the parts, given how many of n documents have each template word."""
 
     def __init__(self, found: dict[bytes, int], n: int):
         self.idf = {w: log((1 + n) / (1 + k)) for w, k in found.items()}
-        rare = lambda w: (-self.idf.get(w, 0.0), w)
-        self.phrases = []
-        for text, label in PHRASES.items():
-            words = text.encode().split()
-            at = min(range(len(words)), key=lambda i: rare(words[i]))
-            self.phrases.append((label, words, at))
-        self.grants, self.postings = [], defaultdict(list)
-        for k, (label, text, keys) in enumerate(GRANTS):
-            words = text.encode().split()
-            parts = [key.encode().split() for key in keys]
-            self.grants.append((label, words, [(_find(words, p), p) for p in parts]))
-            for w in sorted(set(words), key=rare)[:LOOKUPS]:
-                self.postings[w] += [(k, i) for i, x in enumerate(words) if x == w]
-        self.wanted = {words[at] for _, words, at in self.phrases} | set(self.postings)
+        self.parts: list[tuple[list[bytes], list[int]]] = []
+        self.postings: dict[bytes, list[int]] = defaultdict(list)
+        self.phrases = [(label, self._part(text.encode().split())) for text, label in PHRASES.items()]
+        self.grants = []
+        for label, text, keys in GRANTS:
+            words, masks = text.encode().split(), defaultdict(int)
+            for i, w in enumerate(words):
+                masks[w] |= 1 << i
+            own = [key.encode().split() for key in keys]
+            self.grants.append((label, dict(masks), len(words), [(_find(words, p), self._part(p)) for p in own]))
+
+    def _part(self, words: list[bytes]) -> int:
+        order = sorted(range(len(words)), key=lambda i: (-self.idf.get(words[i], 0.0), i))
+        self.postings[words[order[0]]].append(len(self.parts))
+        self.parts.append((words, order))
+        return len(self.parts) - 1
+
+    def _starts(self, part: int, places: list[int], words: list[bytes]) -> list[int]:
+        """Where a part stands, given the places of its rarest word."""
+        own, (first, *others) = self.parts[part]
+        starts = [i - first for i in places if i >= first and i - first + len(own) <= len(words)]
+        for at in others:
+            if not starts:
+                break
+            starts = [s for s in starts if words[s + at] == own[at]]
+        return starts
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, list[str], list[str], float]:
         """n_base, first and last start, base labels, all labels, score."""
-        where = defaultdict(list)
-        wanted = self.wanted
+        where, postings = defaultdict(list), self.postings
         for i, w in enumerate(words):
-            if w in wanted:
+            if w in postings:
                 where[w].append(i)
-        n, first, last, base = 0, None, None, set()
-        for label, own, at in self.phrases:
-            for i in where.get(own[at], ()):
-                if i >= at and words[i - at : i - at + len(own)] == own:
-                    n, first, last = n + 1, i - at if first is None else min(first, i - at), i - at if last is None else max(last, i - at)
-                    base.add(label)
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for w in where:
-            for k, at in self.postings.get(w, ()):
-                for i in where[w]:
-                    votes[k, i - at] += 1
+        standing: dict[int, list[int]] = {}
+        for w in sorted(where, key=lambda w: -self.idf.get(w, 0.0)):
+            for part in postings[w]:
+                if starts := self._starts(part, where[w], words):
+                    standing[part] = starts
+        base = {label: standing[part] for label, part in self.phrases if part in standing}
+        every = [s for starts in base.values() for s in starts]
         labels, score = set(base), 1.0 if base else 0.0
-        for k, start in votes:
-            label, own, keys = self.grants[k]
-            share = self._agree(words, own, start)
-            if share >= ENOUGH and all(self._stands(words, part, start + at) for at, part in keys):
-                labels.add(label)
-                score = max(score, share)
-        return n, first, last, sorted(base), sorted(labels), score
-
-    @staticmethod
-    def _agree(words: list[bytes], own: list[bytes], start: int) -> float:
-        return sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(own)) / len(own)
+        for label, masks, n, keys in self.grants:
+            if all(part in standing for _, part in keys):
+                share = self._share(words, masks, n, [(at, standing[part]) for at, part in keys])
+                if share >= ENOUGH:
+                    labels.add(label)
+                    score = max(score, share)
+        return len(every), min(every, default=None), max(every, default=None), sorted(base), sorted(labels), score
 
     @staticmethod
-    def _stands(words: list[bytes], part: list[bytes], at: int) -> bool:
-        return any(0 <= i and words[i : i + len(part)] == part for i in range(at - DRIFT, at + DRIFT + 1))
+    def _share(words: list[bytes], masks: dict[bytes, int], n: int, keys: list[tuple[int, list[int]]]) -> float:
+        """The largest share of a template's words that follow in order around its key phrases; 0 where these don't stand together."""
+        (first, starts), others, best = keys[0], keys[1:], 0
+        for start in starts:
+            start -= first
+            for at, found in others:
+                k = bisect_left(found, start + at - DRIFT)
+                if k == len(found) or found[k] > start + at + DRIFT:
+                    break
+            else:
+                best = max(best, common(masks, n, words[max(0, start - DRIFT) : start + n + DRIFT]))
+        return best / n
 
 
 def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
