@@ -7,8 +7,10 @@ Zipf's law in its rank (nothing is trained). Equal costs go to fewer pieces.
 The distinct pre-tokens of a partition are inserted in a trie by their bytes. Every node holds the
 forward score of its prefix, computed once from the nodes above it however many pre-tokens share
 it; the node where a pre-token ends stores its count. The trie is emptied at NODES nodes, so memory
-is bounded; that costs time, never a result. Pre-tokens over LONG bytes are scored on their own, by
-the same recurrence. No shuffle.
+is bounded, also within one long pre-token, whose rest is scored by the same recurrence without new
+nodes; that costs time, never a result. No shuffle.
+
+Tokenizers are not trained here, so costs don't come from the corpus.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .bpe import _ranks
 from .common import arrow_map, memo
 
-NODES, LONG = 400_000, 512
+NODES = 400_000
 #: A total is its cost in millionths, shifted, plus the number of pieces.
 SHIFT = 32
 
@@ -59,25 +61,23 @@ class Counts:
         found = self.ends.get(token)
         if found is not None:
             return found
-        if len(self.best) > self.nodes:
+        if len(self.best) >= self.nodes:
             self.clear()
         word = token.encode("utf-8", "replace")
-        totals, node, shared = [0], 0, len(word) <= LONG
+        totals, node = [0], 0
         for end in range(1, len(word) + 1):
-            if not shared:
-                totals.append(self._step(word, end, totals))
-                continue
-            key = node << 8 | word[end - 1]
+            key = None if node is None else node << 8 | word[end - 1]
             after = self.child.get(key)
-            if after is None:
-                totals.append(self._step(word, end, totals))
-                after = self.child[key] = len(self.best)
-                self.best.append(totals[-1])
-            else:
+            if after is not None:
                 totals.append(self.best[after])
+            else:
+                totals.append(self._step(word, end, totals))
+                if key is not None and len(self.best) < self.nodes:
+                    after = self.child[key] = len(self.best)
+                    self.best.append(totals[-1])
             node = after
         found = totals[-1] & (1 << SHIFT) - 1
-        if shared:
+        if node is not None:
             self.ends[token] = found
         return found
 
