@@ -34,7 +34,13 @@ from .components import components, forest
 
 MANY, LOSS, BLOCK, FEW = 24, 1e-4, 2048, 600
 VERIFIED_AT_ONCE = 1 << 16
-MOST_CUTS = 8
+#: Numbers of cells are mixed from their places, for any number of cuts.
+MIXER = 0x9E3779B97F4A7C15
+
+
+def level(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which changes no cosine, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
 
 
 def directions(seed: int, n: int, length: int) -> np.ndarray:
@@ -59,6 +65,11 @@ def calibrated(least: float) -> tuple[float, int]:
     return wide, MANY
 
 
+def vector(table: DataFrame, column: str = "embedding") -> Column:
+    """The vectors with the components they have: floats stay floats, all else becomes double."""
+    return F.col(column).cast("array<float>" if table.schema[column].dataType.simpleString() == "array<float>" else "array<double>")
+
+
 def usable(vector: Column) -> Column:
     """True unless the vector is null, empty, zero, or holds a null or a component that isn't finite."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -74,20 +85,21 @@ def _sent(kinds: DataFrame, least: float, cuts: int, seed: int) -> DataFrame:
         vectors = batch.column("vector").to_pylist()
         row, cell, home = [], [], []
         for i, v in enumerate(vectors):
-            x = np.array(v, np.float64)
+            x = level(np.array(v, np.float64))
             p = x / np.linalg.norm(x) @ directions_of(seed, cuts, len(x))
-            keys, own = np.zeros(1, np.int64), 0
+            keys, own = np.zeros(1, np.uint64), 0
             for at in p:
                 places = np.arange(int(np.floor((at - half) / wide)), int(np.floor((at + half) / wide)) + 1) + 64
-                keys = (keys[:, None] * 128 + places[None]).ravel()
-                own = own * 128 + int(np.floor(at / wide)) + 64
+                keys = (keys[:, None] * np.uint64(MIXER) + places[None].astype(np.uint64)).ravel()
+                own = (own * MIXER + int(np.floor(at / wide)) + 64) & (1 << 64) - 1
+            keys = np.unique(keys)
             row += [i] * len(keys)
-            cell += keys.tolist()
-            home += (keys == own).tolist()
+            cell += keys.view(np.int64).tolist()
+            home += (keys == np.uint64(own)).tolist()
         row = pa.array(row, pa.int32())
         return {c: batch.column(c).take(row) for c in ("label", "length", "rep", "n", "vector")} | {"cell": cell, "home": home}
 
-    return arrow_map(kinds, kernel, "label string, length int, rep long, n long, vector array<float>, cell long, home boolean")
+    return arrow_map(kinds, kernel, f"label string, length int, rep long, n long, vector {kinds.schema['vector'].dataType.simpleString()}, cell long, home boolean")
 
 
 _drawn = memo()
@@ -116,7 +128,7 @@ def _compared(rows: pd.DataFrame, least: float, seed: int) -> pd.DataFrame:
     home, other = rows[rows.home], rows[~rows.home]
     if not len(home) or not len(other):
         return pd.DataFrame({"a": [], "b": [], "more": []})
-    x, y = np.stack(home.vector.to_numpy()).astype(np.float64), np.stack(other.vector.to_numpy()).astype(np.float64)
+    x, y = (level(np.stack(rows.vector.to_numpy()).astype(np.float64)) for rows in (home, other))
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     g, (half, enough) = directions_of(seed + 1, MANY, x.shape[1]), calibrated(least)
     a, b, na, nb = home.rep.to_numpy(), other.rep.to_numpy(), home.n.to_numpy(), other.n.to_numpy()
@@ -143,12 +155,12 @@ def near_duplicates(table: DataFrame, least: float = 0.98, seed: int = 3) -> Dat
     empty result.
     """
     scratch = Scratch(table.sparkSession, "projections")
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<float>").alias("vector"))
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), vector(table).alias("vector"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector"))
     kinds = rows.where(fine).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     kinds = scratch.save(kinds.select("label", F.size("vector").alias("length"), "rep", "n", "vector"), "kinds")
     largest = kinds.groupBy("label", "length").count().agg(F.max("count")).first()[0] or 1
-    cuts = min(MOST_CUTS, max(1, ceil(log(max(largest, FEW) / FEW) / log(2.2))))
+    cuts = max(1, ceil(log(max(largest, FEW) / FEW) / log(2.2)))
     sent = scratch.save(_sent(kinds, least, cuts, seed), "sent")
 
     cell = ["label", "length", "cell"]

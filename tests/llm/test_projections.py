@@ -65,6 +65,11 @@ def test_hot_vector_and_edges(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_components_keep_their_precision(spark):
+    df = spark.createDataFrame([(1, [1e39, 0.0], 1), (2, [2e39, 1e38], 1), (3, [0.0, 1e-300], 1)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in projections.near_duplicates(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
 def test_null_ids_and_nothing(spark):
     got = projections.near_duplicates(spark.createDataFrame([(None, [1.0], 1, 1, "x"), (3, [1.0], 1, 1, "x")], SCHEMA)).collect()
     assert sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got) == [("3", 0, 3, True), ("None", 0, None, False)]
