@@ -45,6 +45,22 @@ def test_graph_layers():
     assert all(t.shape == (len(n), hnsw.WIDTH) and set(t[t >= 0].tolist()) <= set(n.tolist()) for n, t in layers)
 
 
+def test_a_crowd_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(1, 24)) * 3 + rng.normal(size=(900, 24)) * 0.02, rng.normal(size=(600, 24))])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got, want = run(spark, rows, 50), brute(rows, range(0, 1500, 50), 20)
+    found = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
+    assert min(found) >= 0.8 and np.mean(found) >= 0.97
+
+
+def test_components_keep_their_precision(spark):
+    rows = [(k, [1e39 * (1 + k * 1e-12), 1.0]) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in hnsw.nearest(df, df.where("vec_id = 0"), 5).collect()]
+    assert sorted(got, key=lambda r: -r[1]) == [(k, rows[0][1][0] * rows[k][1][0] + 1.0) for k in (39, 38, 37, 36, 35)]
+
+
 def test_ties_copies_and_few_candidates(spark):
     rows = [(k, [1.0, 0.0]) for k in range(50)] + [(60, [0.5, 0.5]), (61, [-1.0, 0.0])]
     assert run(spark, rows, 20) == brute(rows, [0, 20, 40, 60], 20)
