@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hitlake.llm import langid
@@ -65,3 +67,44 @@ def test_prediction_uses_text_alone(docs):
     a = langid.predict(docs([(1, "banana sahara", "aa", "s1")]), model).first()
     b = langid.predict(docs([(99, "banana sahara", None, None)]), model).first()
     assert (a.lang_pred, a.score) == (b.lang_pred, b.score)
+
+
+def plain_vector(text, idf):
+    """A dict from place to weight, by loops over letters."""
+    mask, out = (1 << 32) - 1, {}
+    letters = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    line = [32]
+    for c in [*letters, 32]:
+        if c != 32 or line[-1] != 32:
+            line.append(c)
+    a, b, c = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
+    grams = [x * a for x in line if x != 32] + [x * b + y * c + 1 for x, y in zip(line, line[1:])] + [((x * a + y * b) & mask) * c + z * a + 2 for x, y, z in zip(line, line[1:], line[2:])]
+    for g in grams:
+        g &= mask
+        at = ((g ^ g >> 15) * b & mask) >> 32 - langid.BITS
+        out[at] = out.get(at, 0) + 1
+    out = {k: (1 + math.log(n)) * idf[k] for k, n in out.items()}
+    whole = math.sqrt(sum(v * v for v in out.values()))
+    return {k: v / whole for k, v in out.items()}
+
+
+def test_prediction_matches_plain_centroids(docs):
+    random.seed(5)
+    own = {"aa": "the and with from this that", "bb": "der die und nicht mit das", "cc": "le la et avec dans pour"}
+    rows = [(k, " ".join(random.choices(own[lang].split(), k=12)) + f" x{k}", lang) for k, lang in enumerate(sorted(own) * 40)]
+    rows += rows[:7] * 3  # repeated learnable rows
+    learnable = docs([(k, t, lang, "s") for k, t, lang in rows])
+    model = langid.fit(learnable)
+    n = len(rows)
+    vectors = [plain_vector(t, [1.0] * (1 << langid.BITS)) for _, t, _ in rows]
+    for at in random.sample(sorted({k for v in vectors for k in v}), 40):
+        assert model["idf"][at] == pytest.approx(math.log((1 + n) / (1 + sum(at in v for v in vectors))) + 1)
+    assert len(model["langs"]) == 3 * langid.CENTROIDS and np.allclose(np.linalg.norm(model["centroids"], axis=1), 1, atol=1e-5)
+    asked = [(k, " ".join(random.choices(" ".join(own.values()).split(), k=9)), "en") for k in range(60)]
+    got = {r.doc_id: r for r in langid.predict(docs(asked), model).collect()}
+    for k, text, _ in asked:
+        v = plain_vector(text, model["idf"])
+        near = [sum(w * float(c[i]) for i, w in v.items()) for c in model["centroids"]]
+        best = max(range(len(near)), key=lambda j: near[j])
+        assert abs(got[k].score - near[best]) < 1e-5 and (got[k].lang_pred == model["langs"][best] or abs(near[best] - max(n for n, lang in zip(near, model["langs"]) if lang == got[k].lang_pred)) < 1e-5)
+        assert got[k].rejected == bool(near[best] < model["least"][best]) or abs(near[best] - model["least"][best]) < 1e-5

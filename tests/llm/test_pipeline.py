@@ -56,6 +56,18 @@ def test_stages_in_turn(spark, folder):
     assert all(bytes(r.ids) == want[r.doc_id] and r.n_tokens == len(r.ids) // 4 for r in got) and len(got) == seen[4].count()
 
 
+def test_stages_stand_odd_rows_and_nothing(spark, edge, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated ids and rows, columns with clashing names; then no rows at all."""
+    plain = ["doc_id", "text", "lang", "source", "n_chars", "label", "h", "vector"]
+    for name, df in (("edge", edge), ("empty", empty)):
+        df.select(plain).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(k, 1, int(name == "empty")) for k in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/edge").collect()
+    assert {r.doc_id for r in rows} <= {None, 1, 2, 3, 4, 5, 6, 7} and all(r.n_tokens == len(r.ids) // 4 for r in rows)
+    assert {None, 1, 4, 5, 7} <= {r.doc_id for r in rows} and not {2, 3, 6} & {r.doc_id for r in rows}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_every_operator_has_a_query():
     names = sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES)
     assert names == list(range(1, 11))
