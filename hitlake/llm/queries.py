@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, langid, licenses, mixing, projections, simhash, substring, toxicity, unigram
+from . import bpe, hnsw, langid, licenses, mixing, projections, repair, simhash, substring, toxicity, unigram
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,80 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return hnsw.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+#: crc32 of an ASCII string `s`, bit by bit.
+CRC_SQL = """list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), x -> ord(x)::bigint)),
+  (c, b) -> list_reduce(list_prepend(xor(c, b), range(8)), (y, i) -> case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end))"""
+
+
+def _cheapest(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _after(cost: str, edit: str, then: str) -> str:
+    return f"{{'cost': {cost} + {then}.cost, 'audit': '{edit}' || {then}.audit}}"
+
+
+#: The state after an inserted or new role, for the states start, s, u, a.
+_NEXT = (2, 2, 3, 2)
+
+
+def _repair_sql() -> str:
+    """Suffixes are solved from the last row to the first, as one struct of cost and audit for each of four states."""
+    never = "{'cost': 1000000000, 'audit': ''}"
+    rows = []
+    for s in range(4):
+        kept = [f"when ini = '' then {_after('short', 'K', f'v{s}')}", f"when ini = '{'a' if s == 2 else 'u'}' then {_after('short', 'K', f'v{_NEXT[s]}')}"]
+        kept += [f"when ini = 's' then {_after('short', 'K', 'v1')}"] if s == 0 else []
+        ways = (_after("3", "D", f"v{s}"), f"case when gone then {never} else {_after('2 + short', 'R', f'v{_NEXT[s]}')} end", f"case when gone then {never} {' '.join(kept)} else {never} end")
+        rows.append(f"{_cheapest(*ways)} as g{s}")
+    ahead = [_cheapest(f"g{s}", _after("2", "I", f"g{_NEXT[s]}"), _after("4", "II", f"g{_NEXT[_NEXT[s]]}")) + f" as v{s}" for s in range(4)]
+    return f"""
+with recursive fates as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {CRC_SQL.format(s="coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fate
+  from conversations),
+damaged as (
+  select coalesce(conv_id::varchar, '') as c, turn, case when fate = 4 then 'user' else role end as role,
+    case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from fates, range(2) as t(k) where fate <> 0 and (k = 0 or fate = 3)),
+placed as (
+  select *, row_number() over (partition by c, role, text order by turn nulls first) as again, row_number() over (partition by c order by turn nulls first, role, text) as pos,
+    substr(role, 1, 1) as ini, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last
+  from damaged),
+faults as (
+  select *, case when last = '' then 'blank' when again > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' end as fault,
+    lag(ini) over (partition by c order by pos) as before
+  from placed),
+facts as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+    count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+    count(*) filter (where before is not null and before || ini not in ('su', 'ua', 'au')) as illegal, max(pos) as n
+  from faults group by c),
+solved as (
+  select c, n + 1 as pos, {{'cost': 0, 'audit': ''}} as v0, {{'cost': 4, 'audit': 'II'}} as v1, {{'cost': 2, 'audit': 'I'}} as v2, {{'cost': 0, 'audit': ''}} as v3 from facts
+  union all
+  select c, pos, {', '.join(ahead)} from (
+    select f.c, f.pos, {', '.join(rows)}
+    from (select *, fault is not null and fault <> 'truncated' as gone, case when fault = 'truncated' then 1 else 0 end as short from faults) f
+    join solved on solved.c = f.c and solved.pos = f.pos + 1) as one),
+audits as (select c, v0.cost as cost, v0.audit as audit from solved where pos = 1),
+letters as (select c, i, substr(audit, i, 1) as e from (select c, audit, unnest(range(1, length(audit) + 1)) as i from audits)),
+dealt as (select *, sum((e <> 'I')::int) over (partition by c order by i) as pos from letters),
+told as (
+  select d.c, d.i, d.e, f.role, f.text, sum((d.e in ('I', 'R') or (d.e = 'K' and f.ini in ('u', 'a')))::int) over (partition by d.c order by d.i) % 2 = 1 as by_user
+  from dealt d left join faults f on f.c = d.c and f.pos = d.pos and d.e <> 'I'),
+lines as (
+  select c, i, case e when 'K' then role || ':' || text else case when by_user then 'user:' else 'assistant:' end || coalesce(text, '') end as line from told where e <> 'D'),
+digests as (select c, sha256(string_agg(line, chr(10) order by i)) as repaired_sha256 from lines group by c)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit,
+  coalesce(repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id, coalesce(conv_id::varchar, '') as c from conversations) left join facts using (c) left join audits using (c) left join digests using (c)
+"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
