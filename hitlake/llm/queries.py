@@ -160,8 +160,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: crc32 of an ASCII string `s`, bit by bit.
-CRC_SQL = """list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), lambda x: ord(x)::bigint)),
-  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda y, i: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end))"""
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), lambda x: ord(x)::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda y, i: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)))"""
 
 
 def _cheapest(*ways: str) -> str:
