@@ -195,10 +195,11 @@ damaged as (
   select coalesce(conv_id::varchar, '') as c, turn, case when fate = 4 then 'user' else role end as role,
     case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
   from fates, range(2) as t(k) where fate <> 0 and (k = 0 or fate = 3)),
+counted as (select *, row_number() over (partition by c, role, text order by turn nulls first) as again from damaged),
 placed as (
-  select *, row_number() over (partition by c, role, text order by turn nulls first) as again, row_number() over (partition by c order by turn nulls first, role, text) as pos,
+  select *, row_number() over (partition by c order by turn nulls first, role, text, again) as pos,
     substr(role, 1, 1) as ini, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last
-  from damaged),
+  from counted),
 faults as (
   select *, case when last = '' then 'blank' when again > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' end as fault,
     lag(ini) over (partition by c order by pos) as before
