@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, langid, licenses, mixing, projections, repair, simhash, substring, toxicity, unigram
+from . import bpe, divergence, hnsw, langid, licenses, mixing, projections, repair, simhash, substring, toxicity, unigram
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,36 @@ from (select distinct conv_id, coalesce(conv_id::varchar, '') as c from conversa
 @query("op13_conversation_repair", _repair_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+DIVERGENCE_SQL = """
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ts
+  from documents),
+t as (select r, lang, source, unnest(ts) as term from d),
+kept as (select lang, term, count(*) as n from t group by lang, term having count(distinct r) >= 30),
+langs as (select lang, sum(n)::hugeint as total, count(*) as v from kept group by lang),
+counts as (select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by lang, source, term),
+groups as (
+  select lang, source, coalesce(sum(n), 0)::hugeint as total from (select distinct lang, source from d) left join counts using (lang, source) group by lang, source),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 5) // (g.total + 5 * l.v) as p,
+    1 + 1000000000::hugeint * (k.n + 5) // (l.total + 5 * l.v) as q
+  from groups g join kept k using (lang) join langs l using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum(abs(x.p - y.p)) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join shares x on x.lang = a.lang and x.source = a.source left join shares y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by all),
+parts as (
+  select lang, source, 'pair' as part, item, coalesce(value, 0) as value from pairs
+  union all select lang, source, 'term', term, p - q from shares where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from parts)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 50
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
