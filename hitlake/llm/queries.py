@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, hnsw, langid, licenses, mixing, projections, repair, simhash, substring, toxicity, unigram
+from . import bpe, divergence, hnsw, langid, licenses, lm_scores, mixing, projections, repair, simhash, substring, toxicity, unigram
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,3 +268,12 @@ select lang, source, part, item, value::bigint as value, rank::int as rank from
 @query("op11_source_divergence", DIVERGENCE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_lm_scores")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(True))
+    found = lm_scores.score(table(spark, sf_dir, "documents"), ~held_out, tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.withColumn("held_out", held_out)
