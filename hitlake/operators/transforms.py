@@ -148,51 +148,19 @@ def scale(df: DataFrame, columns: list[str], scaling: str = "robust", stats: dic
     raise ValueError(f"unknown scaling {scaling!r}")
 
 
-#: The largest weight, and the ratio of weights beyond which their spread is worth a warning.
-CEILING, SPREAD = 5.0, 10.0
-
-
-def _balanced(weights: dict[str, float], free: list[str], cap: float | None) -> dict[str, float]:
-    """Mean 1 over the free columns, then capped (from above always, from below by a given cap); the others stay at 1."""
-    usable = {c: w if np.isfinite(w) and w > 0 else 1.0 for c, w in weights.items()}
-    middle = sum(usable[c] for c in free) / len(free) if free else 1.0
-    low, high = (1 / cap, min(CEILING, cap)) if cap else (0.0, CEILING)
-    return {c: min(high, max(low, w / middle)) if c in free else 1.0 for c, w in usable.items()}
-
+def equalising_weights(df: DataFrame, columns: list[str], kinds: dict[str, str], **options) -> dict[str, float]:
+    """Weight by column; see weights.py."""
+    from .weights import equalise
 
-def weights_and_trace(df: DataFrame, columns: list[str], kinds: dict[str, str], *, strategy: str = "closed", iters: int = 0, damping: float = 0.5, cap: float | None = None, k: int = 8, queries: int = 20_000, seed: int = 0, key: str = "id") -> tuple[dict[str, float], dict]:
-    """Weights that even out each column's part of the distances, and how they came about.
+    return equalise(df, columns, kinds, **options).by_column
 
-    closed: in proportion to 1 / deviation, which is exact for distances of random pairs. knn: damped
-    steps towards equal parts of the distances to the k nearest; it needn't converge, dev_trace tells.
-    hybrid: closed, then such steps. Boolean, flag and constant columns stay at 1.
-    """
-    from .quality import knn_share
-
-    if strategy not in ("closed", "knn", "hybrid"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    row = df.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
-    flat = [c for c in columns if (row[c] or 0) <= TINY_IQR]
-    free = [c for c in columns if kinds.get(c) not in ("boolean", "flag") and c not in flat]
-    weights, trace, n = dict.fromkeys(columns, 1.0), [], len(columns)
-    if strategy != "knn":
-        weights = _balanced({c: 1 / row[c] if c not in flat else 1.0 for c in columns}, free, cap)
-    for _ in range(iters if strategy != "closed" else 0):
-        weighted = df.select(key, *((F.col(c) * weights[c]).alias(c) for c in columns))
-        share = {r.feature: r.share for r in knn_share(weighted, columns, k, queries, seed, key).collect()}
-        share = {c: s if (s := share.get(c)) and s > 1e-9 else 1 / n for c in columns}
-        trace.append(max(abs(s * n - 1) for s in share.values()))
-        weights = _balanced({c: w * (1 / n / share[c]) ** damping for c, w in weights.items()}, free, cap)
-    weights = _balanced(weights, free, cap)
-    low, high = min(weights.values()), max(weights.values())
-    return weights, {
-        "strategy": strategy, "iters": iters, "skipped": [c for c in columns if kinds.get(c) in ("boolean", "flag")], "degenerate": flat, "dev_trace": trace,
-        "weight_min": low, "weight_max": high, "spread_warning": low > 0 and high / low > SPREAD,
-    }
 
+def weights_and_trace(df: DataFrame, columns: list[str], kinds: dict[str, str], **options) -> tuple[dict[str, float], dict]:
+    """Weight by column, and how the steps went."""
+    from .weights import equalise
 
-def equalising_weights(df: DataFrame, columns: list[str], kinds: dict[str, str], **options) -> dict[str, float]:
-    return weights_and_trace(df, columns, kinds, **options)[0]
+    found = equalise(df, columns, kinds, **options)
+    return found.by_column, {"dev_trace": found.steps, "skipped": found.fixed, "spread_warning": found.uneven}
 
 
 #: Points of a stored curve that go to the executors, about, and of all curves at most.
@@ -247,8 +215,13 @@ def normalise_like(reference: DataFrame, new: DataFrame, columns: list[str], suf
 def distance_share(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, share): each column's part of the mean squared distance of two rows, which is that of its variance."""
     row = df.agg(*(F.var_pop(c).alias(c) for c in columns))
-    every = sum((F.coalesce(c, F.lit(0.0)) for c in map(F.col, columns)), F.lit(0.0))
-    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.when(every > 0, F.col(c) / every).alias("share")) for c in columns))))
+    return shares(row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("total")) for c in columns)))))
+
+
+def shares(totals: DataFrame) -> DataFrame:
+    """(feature, share) of (feature, total): the sum is taken once, over one row a column."""
+    whole = totals.agg(F.sum("total").alias("whole"))
+    return totals.crossJoin(whole).select("feature", F.when(F.col("whole") > 0, F.col("total") / F.col("whole")).alias("share"))
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:

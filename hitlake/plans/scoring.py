@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import flags as O
 from ..operators import quality as Q
 from ..operators import scoring as S
 from ..operators import transforms as T
-from ..sources.adapters import GIVEN_SQL, HITS_SQL, SCORES_SQL, given_clusters, hits, scores, spectra
+from ..operators.neighbours import nearest, vectors
+from ..shared import saved
+from ..sources.adapters import GIVEN_SQL, HITS_SQL, SCORES_SQL, given_clusters, hits, scores
 from .catalogue import query
 from .flagging import NEAR, flagged
 
@@ -33,10 +36,23 @@ KNN_SQL = """d as (select a.id, b.id as o, list_transform(list_zip(a.z, b.z), la
 r as (select *, row_number() over (partition by id order by list_sum(d), o) as k from d), s as (select unnest(d) as d, unnest(range(1, len(d) + 1)) as j from r where k <= 8), near as (select j, sum(d) as s from s group by j)"""
 
 
+def components(spark, sf_dir, *more):
+    """(id, c0 to c63) of the vectors, each component cast by itself."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), *(F.col("embedding")[k].cast("double").alias(f"c{k}") for k in range(DEEP)), *more)
+
+
 @query("knn_share", f"""with zz as (select vec_id as id, embedding::double[] as z from embeddings), {KNN_SQL} select 'c' || (j - 1) as feature, round(s / (select sum(s) from near), 6) as share from near""")
 def _(spark, sf_dir):
-    columns = [f"c{k}" for k in range(DEEP)]
-    return Q.knn_share(spectra(spark, sf_dir).select("id", *(F.col("v")[k].alias(c) for k, c in enumerate(columns))), columns).select("feature", F.round("share", 6).alias("share"))
+    return Q.knn_share(components(spark, sf_dir), [f"c{k}" for k in range(DEEP)]).select("feature", F.round("share", 6).alias("share"))
+
+
+#: Rows whose id is divisible by 20 ask; all rows answer. Cells are small, so that the index has many.
+@query("nearest_rows", f"""with zz as (select vec_id as id, embedding::double[] as z from embeddings), d as (select a.id, b.id as o, list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) ** 2)) as far from zz a join zz b on a.id <> b.id where a.id % 20 = 0),
+r as (select *, row_number() over (partition by id order by far, o) as k from d) select id as query, o as other, round(far, 6) as far, k::int as rank from r where k <= 8""")
+def _(spark, sf_dir):
+    rows = saved(vectors(components(spark, sf_dir), [f"c{k}" for k in range(DEEP)], "id"), "vectors")
+    asked = rows.where("key % 20 = 0").toPandas()
+    return nearest(rows, (asked.key.to_numpy(), np.array(asked.v.tolist())), 8, cell=64).select("query", "other", F.round("far", 6).alias("far"), "rank")
 
 
 #: All components and the label, as an ordinal column, robustly scaled.
@@ -52,7 +68,7 @@ select feature, kind, n_distinct, tie_frac, round(tie_value, 6) as tie_value, ro
     case when share_global / share_knn >= 2.5 or share_global / share_knn <= 1 / 2.5 then 'share-disagree' end) as flags from a""")
 def _(spark, sf_dir):
     columns = [f"c{k}" for k in range(DEEP)]
-    df = spectra(spark, sf_dir).select("id", *(F.col("v")[k].alias(c) for k, c in enumerate(columns)), F.col("label").cast("double").alias("label"))
+    df = components(spark, sf_dir, F.col("label").cast("double").alias("label"))
     got = Q.column_audit(df, [*columns, "label"], {"label": "ordinal"})
     return got.select("feature", "kind", "n_distinct", "tie_frac", *(F.round(c, 6).alias(c) for c in ("tie_value", "iqr", "iqr_scaled")), F.round("clip_frac", 9).alias("clip_frac"), "weight", *(F.round(c, 6).alias(c) for c in ("share_global", "share_knn")), "equal_share", "flags")
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import dedupe as D
 from ..operators import flags as O
 from ..operators import transforms as T
+from ..operators.transforms import distance_share
+from ..operators.weights import equalise
 from ..sources.adapters import HITS_SQL, SPECTRA_SQL, hits, spectra
 from .catalogue import query
 from .flagging import NEAR
@@ -56,6 +58,19 @@ def _(spark, sf_dir):
     return spark.createDataFrame(list(w.items()), "feature string, weight double").select("feature", F.round("weight", 9).alias("weight"))
 
 
+#: A capped and a free column, a boolean and a constant one, which stay at 1; and how far parts of distances are from equal ones.
+@query("equalising_weights_capped", f"""with {HITS_SQL}, s as (select unnest([{{'feature': 'frequency', 'd': stddev_pop(frequency), 'free': true}}, {{'feature': 'snr', 'd': stddev_pop(snr), 'free': true}}, {{'feature': 'driftRate', 'd': stddev_pop("driftRate"), 'free': true}},
+  {{'feature': 'even', 'd': stddev_pop((id % 2 = 0)::int), 'free': false}}, {{'feature': 'one', 'd': 0.0, 'free': false}}], recursive := true) from hits),
+w as (select feature, d, case when free then greatest(0.5, least(2.0, 1 / d / avg(1 / d) filter (free) over ())) else 1.0 end as w from s),
+p as (select *, (w * d) ** 2 / sum((w * d) ** 2) over () as share from w)
+select feature, round(w, 9) as weight, round(max(abs(case when share > 1e-9 then share * 5 - 1 else 0 end)) over (), 6) as max_dev_global from p""")
+def _(spark, sf_dir):
+    df = hits(spark, sf_dir).select("id", *COLS[:3], (F.col("id") % 2 == 0).cast("double").alias("even"), F.lit(1.0).alias("one"))
+    got = equalise(df, [*COLS[:3], "even", "one"], {"even": "boolean"}, cap=2.0)
+    off = distance_share(df.select(*((F.col(c) * w).alias(c) for c, w in got.by_column.items())), list(got.by_column)).agg(F.max(F.when(F.col("share") > 1e-9, F.abs(F.col("share") * 5 - 1)).otherwise(0.0)).alias("off"))
+    return spark.createDataFrame(list(got.by_column.items()), "feature string, weight double").crossJoin(off).select("feature", F.round("weight", 9).alias("weight"), F.round("off", 6).alias("max_dev_global"))
+
+
 @query("distance_share", f"""with {HITS_SQL}, s as (select var_pop(frequency) as f, var_pop(snr) as s, var_pop("driftRate") as d from hits)
 select 'frequency' as feature, round(f / (f + s + d), 9) as share from s union all select 'snr', round(s / (f + s + d), 9) from s union all select 'driftRate', round(d / (f + s + d), 9) from s""")
 def _(spark, sf_dir):
