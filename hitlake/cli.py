@@ -37,7 +37,7 @@ def _options(p: argparse.ArgumentParser, defaults: dict) -> None:
 FLAGS = {"snr_min": 10.0, "snr_min_short": 15.0, "short_timesteps": 16, "snr_max": 1e6, "tol_hz": 0.0, "tol_steps": 1, "max_drift_coeff": 0.0, "max_beams": 4, "n_ants": 62, "coh_ratio_tol": 2.0, "min_obs": 5, "repeat_tol_hz": 10.0, "repeat_tol_steps": 1}
 MASKS = {"no_itu": False, "dtv": False, "mask_bin_hz": 100.0, "mask_min_beams": 32, "mask_min_obs": 3}
 CLUSTER = {"epochs": 8, "batch": 3000, "min_cluster_size": 4, "min_samples": 8, "cluster_selection_method": "eom", "seed": 0}
-SCORE = {"folds": 5, "seed": 0, "seeds": 1, "max_iter": 20, "shortlist_below": 0.1, "pruned_above": 0.9}
+SCORE = {"folds": 5, "seed": 0, "seeds": 3, "max_iter": 300, "shortlist_below": 0.1, "pruned_above": 0.9}
 
 
 def tolerance(df: DataFrame) -> float:
@@ -176,7 +176,7 @@ def parser() -> argparse.ArgumentParser:
     made["cluster"].add_argument("--match-cut", type=float)
     made["cluster"].add_argument("--match-families", type=int)
     _options(made["score"], SCORE | {"features": "stamp", "ablation": False})
-    _options(made["inject"], {"table": "", "crop": 60, "n": 150, "max_snr": 8.0, "fluctuate": False, "folds": 5, "seed": 0, "seeds": 1, "max_iter": 20})
+    _options(made["inject"], {"table": "", "crop": 60, "n": 150, "max_snr": 8.0, "fluctuate": False, "folds": 5, "seed": 0, "seeds": 3, "max_iter": 300})
     return top
 
 

@@ -6,7 +6,7 @@ missing values go to the side that gains more. Trees grow leaf by leaf, the most
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -16,7 +16,7 @@ RATE, LEAVES, ROWS, CURVATURE = 0.1, 31, 20, 1e-3
 
 @dataclass
 class Forest:
-    """Trees as flat arrays, (trees, nodes): a node's feature (-1 for a leaf), last bin to the left, side of missing values, left child (the right is next) and value."""
+    """Trees of at most 32 leaves as flat arrays, (trees, nodes): a node's feature (-1 for a leaf), last bin to the left, side of missing values, left child (the right is next) and value."""
 
     base: float
     feature: np.ndarray
@@ -24,6 +24,35 @@ class Forest:
     missing_left: np.ndarray
     left: np.ndarray
     value: np.ndarray
+    _tables: tuple | None = field(default=None, repr=False, compare=False)
+
+    def tables(self, features: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and feature the leaves that a bin leaves possible, as bits, (trees, features, 256); and the leaves' values, (trees, 32).
+
+        Leaves are numbered from left to right. A bin that goes right at a node rules out the leaves on
+        its left; the lowest leaf that no node rules out is the row's.
+        """
+        if self._tables is None:
+            allowed = np.full((len(self.feature), features, 256), 0xFFFFFFFF, np.uint32)
+            values, every = np.zeros((len(self.feature), 32)), np.arange(256)
+            for t in range(len(self.feature)):
+                n = 0
+
+                def visit(k: int, t: int = t) -> int:
+                    """Bits of the leaves below a node."""
+                    nonlocal n
+                    j = self.feature[t, k]
+                    if j < 0:
+                        values[t, n], n = self.value[t, k], n + 1
+                        return 1 << (n - 1)
+                    low = visit(self.left[t, k])
+                    right = (every > self.bin[t, k]) | ((every == 0) & ~self.missing_left[t, k])
+                    allowed[t, j, right] &= np.uint32(0xFFFFFFFF ^ low)
+                    return low | visit(self.left[t, k] + 1)
+
+                visit(0)
+            self._tables = allowed, values
+        return self._tables
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -36,27 +65,32 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 
 def _histogram(bins: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
-    """(features, width, 3): sums of gradients, second derivatives and rows."""
-    out = np.empty((bins.shape[1], width, 3))
+    """(3, features, width): sums of gradients, second derivatives and rows."""
+    out = np.empty((3, bins.shape[1], width))
     gr, hr = g[rows], h[rows]
     for j in range(bins.shape[1]):
-        own = bins[rows, j]
-        out[j] = np.stack([np.bincount(own, gr, width), np.bincount(own, hr, width), np.bincount(own, minlength=width)], axis=1)
+        own = bins[:, j].take(rows).astype(np.intp)
+        out[0, j], out[1, j], out[2, j] = np.bincount(own, gr, width), np.bincount(own, hr, width), np.bincount(own, minlength=width)
     return out
 
 
 def _best_split(hist: np.ndarray) -> tuple[float, int, int, bool]:
     """(gain, feature, last bin to the left, missing to the left); gain 0 where no split helps."""
-    total, missing = hist[0].sum(axis=0), hist[:, :1]
-    left = np.cumsum(hist[:, 1:], axis=1)[:, :-1]
-    both = np.stack([left, left + missing])  # missing to the right, to the left
-    other = total - both
-    fits = (both[..., 2] >= ROWS) & (other[..., 2] >= ROWS) & (both[..., 1] >= CURVATURE) & (other[..., 1] >= CURVATURE)
-    score = lambda s: s[..., 0] ** 2 / np.maximum(s[..., 1], 1e-12)
-    gain = np.where(fits, score(both) + score(other) - score(total), 0.0)
-    at = int(gain.argmax())
-    side, j, b = np.unravel_index(at, gain.shape)
-    return float(gain.flat[at]), int(j), int(b) + 1, bool(side)
+    best, (g, h, n) = (0.0, 0, 0, False), hist[:, 0].sum(axis=1)
+    if n < 2 * ROWS:
+        return best
+    left = np.cumsum(hist[:, :, 1:-1], axis=2)
+    for missing_left in (False, True) if hist[2, :, 0].any() else (False,):
+        if missing_left:
+            left += hist[:, :, :1]
+        other_h, other_n = h - left[1], n - left[2]
+        fits = (left[2] >= ROWS) & (other_n >= ROWS) & (left[1] >= CURVATURE) & (other_h >= CURVATURE)
+        gain = np.where(fits, left[0] ** 2 / np.where(fits, left[1], 1.0) + (g - left[0]) ** 2 / np.where(fits, other_h, 1.0), -np.inf)
+        at = int(gain.argmax())
+        if gain.flat[at] - g * g / h > best[0]:
+            j, b = divmod(at, gain.shape[1])
+            best = float(gain.flat[at] - g * g / h), j, b + 1, missing_left
+    return best
 
 
 def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, leaves: int = LEAVES) -> tuple[list, np.ndarray]:
@@ -70,7 +104,7 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, leaves: int
         gain, j, b, missing_left = open_.pop(at)
         if gain <= 1e-9:
             break
-        own = bins[rows[at], j]
+        own = bins[:, j].take(rows[at])
         goes = (own <= b) & ((own > 0) | missing_left)
         parts = rows[at][goes], rows[at][~goes]
         left = len(nodes)
@@ -82,6 +116,8 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, leaves: int
         hists[left + 1 - small] = hists.pop(at) - hists[left + small]
         for k in (left, left + 1):
             open_[k] = _best_split(hists[k])
+        if len(nodes) >= 2 * leaves - 1:
+            break
     for k, node in enumerate(nodes):
         if node[0] < 0:
             own = rows[k]
@@ -91,9 +127,11 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, leaves: int
 
 
 def boost(bins: np.ndarray, y: np.ndarray, rounds: int, leaves: int = LEAVES) -> Forest:
-    """bins (n, features) as binned() gives them; y 0 or 1, of both kinds."""
-    mean = y.mean()
-    base = float(np.log(mean / (1 - mean)))
+    """bins (n, features) as binned() gives them; y 0 or 1.
+
+    All start from even odds, not from the rows' own, so that scores of folds with other shares of labels compare after few rounds too.
+    """
+    base = 0.0
     raw, trees, width = np.full(len(y), base), [], int(bins.max()) + 1
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-raw))
@@ -107,14 +145,12 @@ def boost(bins: np.ndarray, y: np.ndarray, rounds: int, leaves: int = LEAVES) ->
 
 def probability(forest: Forest, bins: np.ndarray) -> np.ndarray:
     """Of label 1, for each row."""
-    raw, every = np.full(len(bins), forest.base), np.arange(len(bins))
-    for t in range(len(forest.feature)):
-        feature, last, missing, left = forest.feature[t], forest.bin[t], forest.missing_left[t], forest.left[t]
-        at, going = np.zeros(len(bins), np.int64), every if feature[0] >= 0 else every[:0]
-        while len(going):
-            k = at[going]
-            own = bins[going, feature[k]]
-            at[going] = left[k] + 1 - ((own <= last[k]) & ((own > 0) | missing[k]))
-            going = going[feature[at[going]] >= 0]
-        raw += forest.value[t][at]
+    raw = np.full(len(bins), forest.base)
+    columns = [np.ascontiguousarray(bins[:, j]) for j in range(bins.shape[1])]
+    for allowed, values in zip(*forest.tables(len(columns)), strict=True):
+        left = allowed[0][columns[0]]
+        for j in range(1, len(columns)):
+            left &= allowed[j][columns[j]]
+        lowest = (left & (~left + np.uint32(1))).astype(np.float32).view(np.int32)
+        raw += values[(lowest >> 23) - 127]  # the exponent is the place of the lowest bit
     return 1 / (1 + np.exp(-raw))

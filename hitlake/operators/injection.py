@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.registry import with_cutout_features
 from ..shared import saved
-from . import scoring
+from . import boosting, scoring
 from .dedupe import sample
 from .transforms import normalise_like
 
@@ -158,7 +158,7 @@ def report(injections: DataFrame) -> list[dict]:
     return [r.asDict() for r in per.orderBy("substrate_class", "kind", "inj_snr", "inj_drift").collect()]
 
 
-def injected_vs_real(injected: DataFrame, real: DataFrame, features: list[str], *, within: float = 0.35, n_real: int = 4000, min_n: int = 200, seed: int = 0, max_iter: int = 20) -> dict:
+def injected_vs_real(injected: DataFrame, real: DataFrame, features: list[str], *, within: float = 0.35, n_real: int = 4000, min_n: int = 200, seed: int = 0, max_iter: int = 300) -> dict:
     """AUC of a classifier that tells injections from real hits of the same brightness, on two fifths that it hasn't seen.
 
     Near a half, injections look like hits; near 1 the score's verdict on them means little. Real hits are a bounded sample of
@@ -174,7 +174,7 @@ def injected_vs_real(injected: DataFrame, real: DataFrame, features: list[str],
         return none | {"n_real": n, "dedoppler": middle}
     both = sample(near, n_real, "id", seed).select(*features, F.lit(0.0).alias("label"), F.xxhash64(F.lit(seed), "id").alias("_h"))
     both = both.unionByName(injected.select(*features, F.lit(1.0).alias("label"), F.xxhash64(F.lit(seed), "id", "inj_snr", "inj_drift").alias("_h")))
-    both = saved(scoring.prepared(both, features).withColumn("held_out", F.pmod("_h", F.lit(5)) < 2), "discriminator")
-    model = scoring._trees(seed, max_iter, 4).fit(both.where("not held_out"))
-    got = scoring._mean_probability(both.where("held_out"), [model], "s")
+    both = saved(both.withColumn("fold", F.when(F.pmod("_h", F.lit(5)) < 2, 0).otherwise(1)), "discriminator")
+    held = both.where("fold = 0")
+    got = held.withColumn("s", boosting.score(held, boosting.fit(both, features, 1, [seed], max_iter), features, F.col("fold")))
     return {"auc": scoring.roc_auc(got, "label", "s").first()[0], "n_real": min(n, n_real), "n_injected": none["n_injected"], "dedoppler": middle}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +10,12 @@ from ..functions.running import running_sums
 from ..functions.scalars import binned, half_even, half_even_at
 from ..schema import FLAGS, finite
 from ..shared import saved
+from . import boosting
 
 #: Right-closed bins of the beam count, with an edge where labels begin.
 BEAM_EDGES = [0, 1, 2, 3, 5, 9, 17, 31, 32, 49, 65]
 #: Fixed value: files whose hits were selected before they were delivered; their labels don't mean what they mean elsewhere.
 PREFILTERED = ("mk_sample_hits",)
-#: Models that are fitted at the same time.
-AT_ONCE = 6
 THRESHOLDS = (0.02, 0.05, 0.10, 0.20, 0.30, 0.50, 0.70, 0.90)
 
 
@@ -157,32 +154,8 @@ def _with_fold(df: DataFrame, folds: dict, group: str) -> DataFrame:
     return df.join(table, group, "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
 
 
-def prepared(df: DataFrame, features: list[str]) -> DataFrame:
-    """features as a vector; a value that isn't finite becomes 0, and is told apart by an indicator."""
-    from pyspark.ml.feature import VectorAssembler
-
-    parts = {f"_v{i}": F.when(finite(c), F.col(c).cast("double")).otherwise(0.0) for i, c in enumerate(features)}
-    parts |= {f"_m{i}": (~finite(c)).cast("double") for i, c in enumerate(features)}
-    return VectorAssembler(inputCols=list(parts), outputCol="features").transform(df.withColumns(parts)).drop(*parts)
-
-
-def _trees(seed: int, max_iter: int, max_depth: int):
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(maxIter=max_iter, maxDepth=max_depth, maxBins=64, seed=seed, stepSize=0.2)
-
-
-def _fitted(jobs: list, fit) -> list:
-    """Several fits at once: each is many short jobs, which leave most of a cluster idle."""
-    with ThreadPool(min(AT_ONCE, len(jobs))) as pool:
-        return pool.map(fit, jobs)
-
-
-def fold_models(df: DataFrame, features: list[str], *, n_splits: int = 5, seed: int = 0, n_seeds: int = 1, max_iter: int = 20, max_depth: int = 4, group: str = "group_id", prefiltered: tuple[str, ...] = PREFILTERED) -> tuple[dict[int, list], dict]:
-    """Boosted trees for each fold, trained on evaluation rows of the other folds; and the fold of each group.
-
-    The assembled features are written once, and all models are trained from them.
-    """
+def fold_models(df: DataFrame, features: list[str], *, n_splits: int = 5, seed: int = 0, n_seeds: int = 3, max_iter: int = 300, group: str = "group_id", prefiltered: tuple[str, ...] = PREFILTERED) -> tuple[dict[int, list], dict]:
+    """Boosted trees for each fold, trained on evaluation rows of the other folds; and the fold of each group."""
     if n_seeds < 1:
         raise ValueError("n_seeds must be 1 or more")
     if {"weak_label", "n_beams_n", "beam_frac_n"} & set(features):
@@ -191,65 +164,55 @@ def fold_models(df: DataFrame, features: list[str], *, n_splits: int = 5, seed:
     if known.select("weak_label").distinct().count() < 2:
         raise ValueError("labels of both classes are needed")
     folds = group_folds(known, group, n_splits)
-    ready = saved(prepared(_with_fold(known, folds, group), features).select("features", F.col("weak_label").cast("double").alias("label"), "fold"), "folds")
-    jobs = [(k, i) for k in range(n_splits) for i in range(n_seeds)]
-    made = dict(zip(jobs, _fitted(jobs, lambda j: _trees(seed + j[1], max_iter, max_depth).fit(ready.where(F.col("fold") != j[0]))), strict=True))
-    return {k: [made[k, i] for i in range(n_seeds)] for k in range(n_splits)}, folds
-
-
-def _mean_probability(df: DataFrame, models: list, name: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    total = F.lit(0.0)
-    for i, m in enumerate(models):
-        df = m.transform(df).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-        total = total + F.col(f"_p{i}")
-    return df.withColumn(name, total / len(models)).drop(*(f"_p{i}" for i in range(len(models))))
-
-
-def _by_fold(df: DataFrame, models: dict[int, list], folds: dict, features: list[str], group: str) -> DataFrame:
-    """Adds fold, and _by_fold: the mean score of each fold's models, in one pass over the rows."""
-    ready = prepared(_with_fold(df, folds, group), features)
-    for k, own in models.items():
-        ready = _mean_probability(ready, own, f"_s{k}")
-    return ready.withColumn("_by_fold", F.array(*(f"_s{k}" for k in models))).drop("features", *(f"_s{k}" for k in models))
+    ready = _with_fold(known, folds, group).withColumn("label", F.col("weak_label"))
+    return boosting.fit(ready, features, n_splits, list(range(seed, seed + n_seeds)), max_iter), folds
 
 
 def predict_held_out(models: dict[int, list], folds: dict, df: DataFrame, features: list[str], group: str = "group_id", default_fold: int = 0) -> DataFrame:
     """rfi_score of each row by the models that haven't seen its group; fold_used is negative where no fold has the group."""
-    used = F.when(F.col("fold") == -1, default_fold).otherwise(F.col("fold"))
-    got = _by_fold(df, models, folds, features, group).withColumns({"rfi_score": F.get("_by_fold", used), "fold_used": F.when(F.col("fold") == -1, -1 - default_fold).otherwise(F.col("fold"))})
-    return got.drop("fold", "_by_fold")
+    names, none = df.columns, F.col("fold") == -1
+    df = _with_fold(df, folds, group)
+    used = F.when(none, default_fold).otherwise(F.col("fold"))
+    return df.select(*names, boosting.score(df, models, features, used).alias("rfi_score"), F.when(none, -1 - default_fold).otherwise(F.col("fold")).alias("fold_used"))
 
 
-def fit_score(df: DataFrame, features: list[str], *, n_splits: int = 5, seed: int = 0, n_seeds: int = 1, max_iter: int = 20, group: str = "group_id", prefiltered: tuple[str, ...] = PREFILTERED) -> DataFrame:
+def fit_score(df: DataFrame, features: list[str], *, n_splits: int = 5, seed: int = 0, n_seeds: int = 3, max_iter: int = 300, group: str = "group_id", prefiltered: tuple[str, ...] = PREFILTERED) -> DataFrame:
     """rfi_score: evaluation rows by the models that haven't seen their group, all others by the mean of all models."""
-    df = saved(df, "scored")
-    features = _present(df, features)
+    df = _spread(saved(df, "scored"))
+    names, features = df.columns, _present(df, features)
+    if not features:
+        raise ValueError("no feature has a finite value")
     models, folds = fold_models(df, features, n_splits=n_splits, seed=seed, n_seeds=n_seeds, max_iter=max_iter, group=group, prefiltered=prefiltered)
-    mean = F.aggregate("_by_fold", F.lit(0.0), lambda a, x: a + x) / F.size("_by_fold")
     own = F.coalesce((F.col("weak_label") >= 0) & ~_in_files(prefiltered, df), F.lit(False))
-    return _by_fold(df, models, folds, features, group).withColumn("rfi_score", F.when(own, F.get("_by_fold", F.col("fold"))).otherwise(mean)).drop("fold", "_by_fold")
+    df = _with_fold(df, folds, group)
+    return df.select(*names, boosting.score(df, models, features, F.when(own, F.col("fold"))).alias("rfi_score"))
 
 
-def band_holdout(df: DataFrame, features: list[str], band: Column, *, seed: int = 0, n_seeds: int = 1, max_iter: int = 20, prefiltered: tuple[str, ...] = PREFILTERED, most: int = 64) -> DataFrame:
+def band_holdout(df: DataFrame, features: list[str], band: Column, *, seed: int = 0, n_seeds: int = 1, max_iter: int = 300, prefiltered: tuple[str, ...] = PREFILTERED, most: int = 64) -> DataFrame:
     """Evaluation rows with `band` and rfi_score by models that were trained on the other bands alone.
 
     Bands without labels of both classes among the others are left out; rows without a band take no part.
     """
-    known = saved(prepared(evaluation_rows(df, prefiltered).withColumn("band", band).where("band is not null"), features), "bands")
+    known = saved(evaluation_rows(df, prefiltered).withColumn("band", band).where("band is not null"), "bands")
     counts = known.groupBy("band").agg(F.count_if(F.col("weak_label") == 1).alias("p"), F.count_if(F.col("weak_label") != 1).alias("n")).limit(most + 1).collect()
     if len(counts) > most:
         raise ValueError(f"more than {most} bands")
     p, n = sum(r.p for r in counts), sum(r.n for r in counts)
     bands = sorted(r.band for r in counts if p > r.p and n > r.n)
-    ready = known.withColumn("label", F.col("weak_label").cast("double"))
-    jobs = [(b, seed + i) for b in bands for i in range(n_seeds)]
-    made = dict(zip(jobs, _fitted(jobs, lambda j: _trees(j[1], max_iter, 4).fit(ready.where(F.col("band") != j[0]))), strict=True)) if jobs else {}
-    out = known.where("false").withColumn("rfi_score", F.lit(None).cast("double"))
-    for b in bands:
-        out = out.unionByName(_mean_probability(known.where(F.col("band") == b), [made[b, seed + i] for i in range(n_seeds)], "rfi_score"))
-    return out.drop("features")
+    if not bands:
+        return known.where("false").withColumn("rfi_score", F.lit(None).cast("double"))
+    number = F.lit(len(bands))  # bands that aren't held out teach all models
+    for k, b in enumerate(bands):
+        number = F.when(F.col("band") == b, k).otherwise(number)
+    models = boosting.fit(known.withColumns({"label": F.col("weak_label"), "fold": number}), features, len(bands), list(range(seed, seed + n_seeds)), max_iter)
+    held = known.where(F.col("band").isin(bands))
+    return held.withColumn("rfi_score", boosting.score(held, models, features, number))
+
+
+def _spread(stored: DataFrame) -> DataFrame:
+    """A stored table in as many partitions as there are cores at least: a small file is one, and scoring is all computation."""
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() >= cores else stored.repartition(cores)
 
 
 def _present(df: DataFrame, features: list[str]) -> list[str]:

@@ -101,11 +101,11 @@ def _(spark, sf_dir):
 
 @query("injection_run")
 def _(spark, sf_dir):
-    """Vectors as cutouts of the hits of the same number; two features, three folds."""
+    """Vectors as cutouts of the hits of the same number; two features, five folds."""
     raw = ["f04_spectral_skew", "x02_time_occupancy"]
     cut = cubes(spark, sf_dir).select("id", "img")
     df = O.beam_multiplicity(hits(spark, sf_dir), 5e6, 1).join(cut, "id").withColumns({"numChannels": F.lit(8), "group_id": F.col("obsid"), "weak_label": F.when(F.col("n_beams") >= 4, 1).when(F.col("n_beams") <= 2, 0).otherwise(-1)})
     stored = T.normalise(with_cutout_features(df, 8, DF).drop("img"), {c: "unit" for c in raw})[0]
-    models, folds = fold_models(stored, [f"{c}_n" for c in raw], n_splits=3, max_iter=3)
+    models, folds = fold_models(stored, [f"{c}_n" for c in raw], n_splits=5, n_seeds=3, max_iter=300)
     got = I.run(df, stored, models, folds, raw, steps=STEPS, channels=8, df_hz=DF, dt_s=DT, n_per_class=40, classes={"single": (1, 2), "more": (3, 64)}, snrs=(10, 100), drifts=(0.0, 0.1), max_snr=1e3)
     return got.select("id", "substrate_class", "kind", "inj_snr", "inj_drift", "rfi_score", "stored_score", "frac_out_of_range", "fold_used")

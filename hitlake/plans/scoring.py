@@ -191,11 +191,11 @@ def labelled(spark, sf_dir):
 
 @query("fit_score")
 def _(spark, sf_dir):
-    got = S.fit_score(labelled(spark, sf_dir), ["frequency_n", "log_snr_n", "abs_drift_n"], n_splits=5, max_iter=5)
+    got = S.fit_score(labelled(spark, sf_dir), ["frequency_n", "log_snr_n", "abs_drift_n"], n_splits=5, n_seeds=3, max_iter=300)
     return got.select("id", "weak_label", "rfi_score")
 
 
 @query("band_holdout")
 def _(spark, sf_dir):
-    got = S.band_holdout(labelled(spark, sf_dir), ["frequency_n", "log_snr_n", "abs_drift_n"], F.col("file"), max_iter=5)
+    got = S.band_holdout(labelled(spark, sf_dir), ["frequency_n", "log_snr_n", "abs_drift_n"], F.col("file"), max_iter=300)
     return S.group_metrics(got.withColumn("y", F.col("weak_label").cast("int")), ["band"], "y", "rfi_score")
