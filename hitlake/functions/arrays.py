@@ -124,14 +124,18 @@ def kurtosis_sweep(v: Column, channels: int, df_hz: float) -> Column:
 
 
 def periodogram(v: Column, channels: int, bins: int) -> Column:
-    """Power of the frequencies 1 to bins, up to a common factor; the mean plays no part."""
+    """Power of the frequencies 1 to bins, up to a common factor; the mean plays no part.
 
-    def power(k: int) -> Column:
-        turn = 2 * math.pi * k / channels
-        part = lambda f: total(F.zip_with(v, F.array(*(F.lit(f(turn * t)) for t in range(channels))), lambda a, b: a * b))
-        return F.pow(part(math.cos), F.lit(2.0)) + F.pow(part(math.sin), F.lit(2.0))
+    Waves are read from one table of a full turn, so the plan is as small for many channels as for few.
+    """
+    steps = F.sequence(F.lit(0), F.lit(channels - 1))
+    turn = lambda f: F.transform(steps, lambda t: f(t * F.lit(2 * math.pi / channels)))
+
+    def powers(w: Column) -> Column:
+        part = lambda k, name: total(F.zip_with(v, steps, lambda x, t: x * F.element_at(w[name], (k * t) % channels + 1)))
+        return F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda k: F.pow(part(k, "cos"), F.lit(2.0)) + F.pow(part(k, "sin"), F.lit(2.0)))
 
-    return F.array(*(power(k) for k in range(1, bins + 1)))
+    return let(F.struct(turn(F.cos).alias("cos"), turn(F.sin).alias("sin")), powers)
 
 
 def redness(v: Column, channels: int) -> Column:

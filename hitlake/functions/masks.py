@@ -41,13 +41,15 @@ TV_CHANNELS, TV_FIRST, TV_STEP, TV_HALF = range(21, 69), 306.0, 8.0, 4.0
 Mask = tuple[float, float, str, str]
 
 
+def _around(middle: float, half: float, label: str, source: str) -> Mask:
+    return middle - half, middle + half, label, source
+
+
 def mask_table(itu: bool = True, tv: bool = False, extra: list[Mask] = ()) -> list[Mask]:
     """All masks in flagging order, which is that of the tuples; extra ones are sorted in."""
-    middle, label, source = CARRIER
-    masks = [m for m in BANDS if itu or m[3] != "ITU"] + [(middle - CARRIER_HALF, middle + CARRIER_HALF, label, source)]
-    if tv:
-        masks += [(TV_FIRST + TV_STEP * c - TV_HALF, TV_FIRST + TV_STEP * c + TV_HALF, f"digital TV ch{c}", "SARAO") for c in TV_CHANNELS]
-    return sorted([*masks, *extra])
+    comb = (_around(TV_FIRST + TV_STEP * c, TV_HALF, f"digital TV ch{c}", "SARAO") for c in TV_CHANNELS)
+    parts = {"band": BANDS, "carrier": [_around(CARRIER[0], CARRIER_HALF, *CARRIER[1:])], "comb": comb if tv else (), "extra": extra}
+    return sorted(mask for kind, masks in parts.items() for mask in masks if itu or kind != "band" or mask[3] != "ITU")
 
 
 def read_masks(spark: SparkSession, path: str) -> list[Mask]:

@@ -76,10 +76,41 @@ def _(spark, sf_dir):
 @query("cluster_quality")
 def _(spark, sf_dir):
     df = O.weak_labels(given_clusters(spark, sf_dir).join(O.beam_multiplicity(hits(spark, sf_dir), 5e6, 1).select("id", "n_beams"), "id"), 4, 1)
-    got = Q.quality(df, (1000.0, 2400.0), n_perm=2)
+    got = Q.quality(df, (1000.0, 2400.0), n_perm=5)
     return spark.createDataFrame([(k, float(v)) for k, v in got.items() if not isinstance(v, dict)], "measure string, value double")
 
 
+#: Given clusters with a label by frequency, so that some clusters have more clean hits than others.
+LABELS_SQL = f"{GIVEN_SQL}, labelled as (select id, cluster, family, case when id % 5 = 0 then -1 when id % 3 = 0 or cluster in (2, 5) then 0 else 1 end as weak_label from given)"
+
+
+def clean_and_not(spark, sf_dir):
+    label = F.when(F.col("id") % 5 == 0, -1).when((F.col("id") % 3 == 0) | F.col("cluster").isin(2, 5), 0).otherwise(1)
+    return given_clusters(spark, sf_dir).select("id", "cluster", "family", label.alias("weak_label"))
+
+
+#: Binomial coefficients by logarithms; every term of each tail.
+@query("enriched_clusters", f"""with {LABELS_SQL}, w as (select count(*) filter (weak_label <> -1) as pop, count(*) filter (weak_label = 0) as marked from labelled),
+c as (select cluster, count(*) as n, count(*) filter (weak_label <> -1) as known, count(*) filter (weak_label = 0) as clean from labelled where cluster >= 0 group by 1),
+t as (select c.*, pop, marked, unnest(range(greatest(clean, known - (pop - marked)), least(known, marked) + 1)) as i from c, w where known > 0),
+p as (select cluster, n, known, clean, least(1, sum(exp(lgamma(marked + 1) - coalesce(lgamma(i + 1), 0) - lgamma(marked - i + 1) + lgamma(pop - marked + 1) - lgamma(known - i + 1) - lgamma(pop - marked - known + i + 1)
+  - lgamma(pop + 1) + lgamma(known + 1) + lgamma(pop - known + 1)))) as p from t group by 1, 2, 3, 4),
+r as (select *, row_number() over (order by p, cluster) as i, count(*) over () as m from p)
+select cluster, n, known, clean, round(p, 9) as p, i <= coalesce((select max(i) from r where p <= i / m::double * 0.05), 0) as significant from r""")
+def _(spark, sf_dir):
+    return Q.enriched(clean_and_not(spark, sf_dir)).select("cluster", "n", "known", "clean", F.round("p", 9).alias("p"), "significant")
+
+
+@query("adjusted_mutual_information", f"""with {LABELS_SQL}, c as (select cluster as a, weak_label as b, count(*) as n from labelled where weak_label <> -1 group by 1, 2), a as (select a, sum(n)::bigint as x from c group by 1), b as (select b, sum(n)::bigint as y from c group by 1), w as (select sum(n)::bigint as n from c),
+mi as (select sum(c.n / w.n::double * ln(w.n::double * c.n / (x * y))) as v from c join a using (a) join b using (b), w), h as (select (select -sum(x / w.n::double * ln(x / w.n::double)) from a, w) as ha, (select -sum(y / w.n::double * ln(y / w.n::double)) from b, w) as hb),
+k as (select x, y, w.n, unnest(range(greatest(1, x + y - w.n), least(x, y) + 1)) as k from a, b, w),
+e as (select sum(k / n::double * ln(n::double * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) as v from k)
+select round((mi.v - e.v) / ((ha + hb) / 2 - e.v), 7) as ami from mi, e, h""")
+def _(spark, sf_dir):
+    found = Q.adjusted_mutual_information(clean_and_not(spark, sf_dir).where("weak_label <> -1"), "cluster", "weak_label")
+    return spark.createDataFrame([(found,)], "ami double").select(F.round("ami", 7).alias("ami"))
+
+
 RANKED = f"{SCORES_SQL}, r as (select y, grp, (rank() over (order by s) + count(*) over (partition by s) / 2.0 - 0.5) as k from scored)"
 
 
