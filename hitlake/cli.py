@@ -19,6 +19,7 @@ from .operators import flags as O
 from .operators import injection as I
 from .operators import quality as Q
 from .operators import scoring as S
+from .operators.tables import combined_summary
 from .operators import transforms as T
 from .sources import files
 from .workspace import resolve, resolve_files, stage_folder
@@ -84,7 +85,7 @@ def features(spark: SparkSession, args: argparse.Namespace, out) -> None:
         made.append(spark.read.parquet(to))
     whole = D.combine(made)
     files.write(whole, f"{out}/{files.filename('all', args.method)}")
-    D.feature_health(whole, [c for c in R.all_columns() if c in whole.columns]).show(50, truncate=False)
+    combined_summary(whole, [c for c in R.all_columns() if c in whole.columns], "group_id" if "group_id" in whole.columns else "file").show(60, truncate=False)
 
 
 def cluster(spark: SparkSession, args: argparse.Namespace, out) -> None:

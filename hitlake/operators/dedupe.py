@@ -36,7 +36,7 @@ def feature_health(df: DataFrame, columns: list[str]) -> DataFrame:
     parts = []
     for c in columns:
         x = F.when(finite(c), F.col(c).cast("double"))
-        parts += [(100.0 * F.count(x) / F.count("*")).alias(f"{c}|f"), F.percentile(x, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias(f"{c}|p")]
+        parts += [F.try_divide(100.0 * F.count(x), F.count("*")).alias(f"{c}|f"), F.percentile(x, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias(f"{c}|p")]
     rows = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}|f`").alias("pct_finite"), *(F.col(f"`{c}|p`")[k].alias(p) for k, p in enumerate(("p1", "p50", "p99")))) for c in columns))
     return df.agg(*parts).select(F.inline(rows))
 

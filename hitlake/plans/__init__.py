@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import clusters, features, flagging, more, scoring, shown, tables  # noqa: F401
+from . import clusters, features, flagging, joined, more, scoring, shown, tables  # noqa: F401
