@@ -76,7 +76,9 @@ def features(spark: SparkSession, args: argparse.Namespace, out) -> None:
         df = spark.read.parquet(str(path))
         if "img" in df.columns:
             df = df.withColumn("img", crop_fill(F.col("img"), F.col("numChannels"), args.crop))
-            df = R.with_cutout_features(R.with_catalogue_features(df), args.crop, tolerance(df)).drop("img").withColumn("stamp_ok", F.lit(True))
+            readable = F.col("img").isNotNull()  # a region that can't be read has no cutout
+            df = df.withColumn("stamp_ok", F.coalesce("stamp_ok", F.lit(False)) & readable if "stamp_ok" in df.columns else readable)
+            df = R.with_cutout_features(R.with_catalogue_features(df), args.crop, tolerance(df)).drop("img")
         else:
             df = R.with_catalogue_features(df).withColumns({"stamp_ok": F.lit(False), "feature_ok": F.lit(False)})
         df = O.weak_labels(T.normalise(df)[0], args.rfi_beams, args.clean_beams, args.require_pass_all)
