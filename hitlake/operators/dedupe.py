@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import finite
+from .ranks import quantiles
 
 
 def deduplicate(df: DataFrame, keys: list[str], file: str = "file", order: list[str] = ("row",)) -> DataFrame:
@@ -32,13 +33,12 @@ def combine(tables: list[DataFrame], keys: list[str] = ("id",)) -> DataFrame:
 
 
 def feature_health(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, pct_finite, p1, p50, p99), one row a column, in one aggregation."""
-    parts = []
-    for c in columns:
-        x = F.when(finite(c), F.col(c).cast("double"))
-        parts += [F.try_divide(100.0 * F.count(x), F.count("*")).alias(f"{c}|f"), F.percentile(x, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias(f"{c}|p")]
-    rows = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}|f`").alias("pct_finite"), *(F.col(f"`{c}|p`")[k].alias(p) for k, p in enumerate(("p1", "p50", "p99")))) for c in columns))
-    return df.agg(*parts).select(F.inline(rows))
+    """(feature, pct_finite, p1, p50, p99), one row a column: exact quantiles by ranks, shares in one aggregation."""
+    at = quantiles(df, {c: c for c in columns}, [0.01, 0.5, 0.99])
+    told = lambda c, k: F.lit(at[c][k] if at[c] else None).cast("double")
+    shares = [F.try_divide(100.0 * F.count_if(finite(c)), F.count("*")).alias(f"{c}|f") for c in columns]
+    rows = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}|f`").alias("pct_finite"), *(told(c, k).alias(p) for k, p in enumerate(("p1", "p50", "p99")))) for c in columns))
+    return df.agg(*shares).select(F.inline(rows))
 
 
 def file_info(df: DataFrame) -> DataFrame:

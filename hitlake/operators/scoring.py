@@ -11,6 +11,7 @@ from ..functions.scalars import binned, half_even, half_even_at
 from ..schema import FLAGS, finite
 from ..shared import saved
 from . import boosting
+from .ranks import quantiles
 
 #: Right-closed bins of the beam count, with an edge where labels begin.
 BEAM_EDGES = [0, 1, 2, 3, 5, 9, 17, 31, 32, 49, 65]
@@ -85,7 +86,7 @@ def ood_block(df: DataFrame, score: str = "rfi_score", prefiltered: tuple[str, .
 
 def quantile_bins(df: DataFrame, column: str, q: int = 10) -> tuple[Column, list[float]]:
     """Right-closed bins at quantiles, repeated edges dropped; the first holds its lower edge."""
-    edges = sorted(set(df.agg(F.percentile(column, F.array(*(F.lit(k / q) for k in range(q + 1))))).first()[0] or [0.0, 1.0]))
+    edges = sorted(set(quantiles(df, {column: column}, [k / q for k in range(q + 1)])[column] or [0.0, 1.0]))
     return F.when(F.col(column) == edges[0], 0).otherwise(binned(F.col(column), edges)), edges
 
 

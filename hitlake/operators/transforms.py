@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
 from ..schema import finite
+from .ranks import quantiles
 
 EPS, TINY_IQR, CLIP = 1e-30, 1e-12, 5.0
 
@@ -47,13 +48,21 @@ def _usable(column: str, how: str) -> Column:
 
 
 def fit(df: DataFrame, transforms: dict[str, str], by: list[str] = ()) -> DataFrame:
-    """One row a group: struct columns with what each transform needs. All columns in one aggregation."""
+    """One row a group: struct columns with what each transform needs. All columns in one aggregation.
+
+    The curves of a whole table come by ranks (ranks.py); those of groups hold a group's distinct values.
+    """
+    places = [k / (QUANTILES - 1) for k in range(QUANTILES)]
+    curved = {c: _usable(c, how) for c, how in transforms.items() if how.startswith("quantile")}
+    whole = quantiles(df, curved, places) if curved and not by else {}
     stats = []
     for c, how in transforms.items():
         x = _usable(c, how)
         parts = [F.count(_usable(c, "none")).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.max(F.abs(x)).alias("most")]
-        if how.startswith("quantile"):
-            parts.append(F.percentile(x, F.array(*(F.lit(k / (QUANTILES - 1)) for k in range(QUANTILES)))).alias("curve"))
+        if c in whole:
+            parts.append((F.lit(whole[c]) if whole[c] else F.lit(None)).cast("array<double>").alias("curve"))
+        elif c in curved:
+            parts.append(F.percentile(x, F.array(*map(F.lit, places))).alias("curve"))
         stats.append(F.struct(*parts).alias(f"_{c}"))
     return df.groupBy(*by).agg(*stats) if by else df.agg(*stats)
 
@@ -115,14 +124,16 @@ def normalise(df: DataFrame, transforms: dict[str, str] | None = None, by: list[
 
 
 def robust_stats(df: DataFrame, columns: list[str], accuracy: int | None = None) -> dict[str, tuple[float, float]]:
-    """Median and interquartile range of the finite rows; one small row.
+    """Median and interquartile range of the finite rows.
 
-    Exact ones hold a column's distinct values in memory. For columns with billions of them give an
-    accuracy, with which ranks are off by one part in as many at most.
+    Exact ones take a few passes over df (ranks.py). An accuracy makes it one, with which ranks
+    are off by one part in as many at most.
     """
-    points = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
-    at = lambda x: F.percentile(x, points) if accuracy is None else F.percentile_approx(x, points, accuracy)
-    row = df.agg(*(at(F.when(finite(c), F.col(c))).alias(c) for c in columns)).first()
+    points = [0.25, 0.5, 0.75]
+    if accuracy is None:
+        row = quantiles(df, {c: c for c in columns}, points)
+    else:
+        row = df.agg(*(F.percentile_approx(F.when(finite(c), F.col(c)), F.array(*map(F.lit, points)), accuracy).alias(c) for c in columns)).first()
     return {c: (row[c][1], row[c][2] - row[c][0]) if row[c] else (0.0, 1.0) for c in columns}
 
 
