@@ -22,7 +22,7 @@ from ..shipping import ship
 #: Bits of the first pass (the sign, the exponent and two more), and of each later one.
 FIRST, STEP = 14, 10
 #: Values of a column that may be counted one by one.
-FEW = 20_000
+FEW = 100_000
 #: Ranges that are searched at once in a run of passes; columns beyond that take a run of their own.
 RANGES = 4096
 
@@ -43,6 +43,7 @@ class _Search:
     """Where a column's wanted ranks lie: ranges by their first bits, and the values below each."""
 
     points: list[float]
+    counted: bool = False  # the points are ranks from 0
     bits: int = 0
     whole: bool = False
     n: int = 0
@@ -54,9 +55,13 @@ class _Search:
     def width(self) -> int:
         return min(STEP, 64 - self.bits) if self.bits else FIRST
 
+    def places(self) -> np.ndarray:
+        at = np.array(self.points, float)
+        return np.clip(at, 0, max(self.n - 1, 0)) if self.counted else (self.n - 1) * at
+
     def start(self, n: int) -> None:
         self.n = n
-        at = (n - 1) * np.array(self.points)
+        at = self.places()
         self.ranks = np.unique(np.concatenate([np.floor(at), np.ceil(at)]).astype(np.int64)) if n else np.zeros(0, np.int64)
         self.prefix, self.below = np.zeros(len(self.ranks), np.uint64), np.zeros(len(self.ranks), np.int64)
 
@@ -92,7 +97,7 @@ class _Search:
         """Values at the points, between neighbouring ranks in proportion."""
         if not self.n:
             return None
-        at = (self.n - 1) * np.array(self.points)
+        at = self.places()
         low, high = np.floor(at), np.ceil(at)
         a, b = (self.values[np.searchsorted(self.ranks, k.astype(np.int64))] for k in (low, high))
         with np.errstate(over="ignore"):
@@ -106,7 +111,7 @@ def _counts(x: DataFrame, searches: list[_Search]) -> pd.DataFrame:
     def count(batches):
         asked = sent.value
         dense = [None if a is None or a[2] else np.zeros(len(a[3]) << a[1], np.int64) for a in asked]
-        single: list[dict] = [{} for _ in asked]
+        single: list[list] = [[] for _ in asked]
         for batch in batches:
             for j, a in enumerate(asked):
                 if a is None:
@@ -122,8 +127,7 @@ def _counts(x: DataFrame, searches: list[_Search]) -> pd.DataFrame:
                 else:
                     place = np.zeros(len(keys), np.int64)
                 if whole:
-                    for k, n in zip(*np.unique(keys, return_counts=True), strict=True):
-                        single[j][int(k)] = single[j].get(int(k), 0) + int(n)
+                    single[j].append(keys)  # FEW of a column at most, over all tasks
                 else:
                     following = (keys >> np.uint64(64 - bits - width)) & np.uint64((1 << width) - 1)
                     dense[j] += np.bincount((place << width) + following.astype(np.int64), minlength=len(dense[j]))
@@ -132,17 +136,23 @@ def _counts(x: DataFrame, searches: list[_Search]) -> pd.DataFrame:
                 codes = np.flatnonzero(d)
                 yield pd.DataFrame({"j": np.int32(j), "code": codes, "n": d[codes]})
             elif single[j]:
-                yield pd.DataFrame({"j": np.int32(j), "code": np.array(list(single[j]), np.uint64).view(np.int64), "n": list(single[j].values())})
+                keys, n = np.unique(np.concatenate(single[j]), return_counts=True)
+                yield pd.DataFrame({"j": np.int32(j), "code": keys.view(np.int64), "n": n})
 
     # At most the bins of the ranges, or FEW values, a column: bounded by RANGES, STEP and FEW.
     return x.mapInPandas(count, "j int, code long, n long").groupBy("j", "code").agg(F.sum("n").alias("n")).toPandas()
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column | str], points: list[float]) -> dict[str, list[float] | None]:
+def at_ranks(df: DataFrame, column: Column | str, ranks: list[int]) -> list[float] | None:
+    """The finite values of given ranks, from 0; ranks beyond the last take that."""
+    return quantiles(df, {"x": column}, ranks, counted=True)["x"]
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column | str], points: list[float], counted: bool = False) -> dict[str, list[float] | None]:
     """The finite values' exact quantiles of each column, as `percentile` gives them; None where there is no value.
 
     columns: a name and what is measured. df is read once a pass: two of them for small tables, four or five for
-    large ones (six at most, whatever the values are). Nulls, NaN and infinities count for nothing.
+    large ones (six at most, whatever the values are). counted: the points are ranks. Nulls, NaN and infinities count for nothing.
     """
     ship(df.sparkSession)
     names, out, most = list(columns), {}, max(1, RANGES // max(1, 2 * len(points)))
@@ -151,7 +161,7 @@ def quantiles(df: DataFrame, columns: dict[str, Column | str], points: list[floa
         given = [F.col(c) if isinstance(c, str) else c for c in (columns[n] for n in some)]
         x = df.select(*(c.cast("double").alias(f"c{j}") for j, c in enumerate(given)))
         x = x.select(*(F.when(finite(c), F.col(c)).alias(c) for c in x.columns))
-        searches = [_Search(list(points)) for _ in some]
+        searches = [_Search(list(points), counted) for _ in some]
         while any(t.values is None for t in searches):
             found = _counts(x, searches)
             for j, t in enumerate(searches):
