@@ -6,11 +6,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
 from ..schema import finite
+from ..shared import saved
 from .ranks import quantiles
 
 EPS, TINY_IQR, CLIP = 1e-30, 1e-12, 5.0
@@ -178,31 +179,45 @@ def weights_and_trace(df: DataFrame, columns: list[str], kinds: dict[str, str],
 GRID, POINTS = 4096, 4_000_000
 
 
+def _points(reference: DataFrame, columns: list[str], suffix: str, by: str) -> DataFrame:
+    """(file, column, raw, norm): distinct points of the curves, the least normalised value of each."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("raw"), F.col(c + suffix).cast("double").alias("norm")) for c in columns))
+    return reference.select(F.col(by).cast("string").alias("file"), F.inline(pairs)).where(finite("raw") & finite("norm")).groupBy("file", "column", "raw").agg(F.min("norm").alias("norm"))
+
+
+def _thinned(points: DataFrame, grid: int) -> tuple[dict, bool]:
+    """Curves of about `grid` points each, and whether any was thinned."""
+    sizes = points.groupBy("file", "column").agg(F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high"))
+    kept = points.join(F.broadcast(sizes), ["file", "column"]).where((F.pmod(F.xxhash64("raw"), F.col("n")) < grid) | (F.col("raw") == F.col("low")) | (F.col("raw") == F.col("high")))  # a row a curve
+    rows = kept.select("file", "column", "raw", "norm", (F.col("n") > grid).alias("thin")).limit(POINTS + 1).toPandas()
+    if len(rows) > POINTS:
+        raise ValueError(f"more than {POINTS} points of curves: normalise fewer files at once")
+    return {key: (own["raw"].to_numpy(), own["norm"].to_numpy()) for key, own in rows.sort_values("raw", kind="stable").groupby(["file", "column"])}, bool(rows["thin"].any())
+
+
 def curves(reference: DataFrame, columns: list[str], suffix: str = "_n", by: str = "file", grid: int = GRID) -> dict:
     """{(file, column): (raw values in order, normalised ones)}: distinct points, the first normalised value of each.
 
     A curve of more than `grid` points is thinned to about as many by a hash of the value; its ends stay.
     """
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("raw"), F.col(c + suffix).cast("double").alias("norm")) for c in columns))
-    points = reference.select(F.col(by).cast("string").alias("file"), F.inline(pairs)).where(finite("raw") & finite("norm")).groupBy("file", "column", "raw").agg(F.min("norm").alias("norm"))
-    sizes = points.groupBy("file", "column").agg(F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high"))
-    kept = points.join(sizes, ["file", "column"]).where((F.pmod(F.xxhash64("raw"), F.col("n")) < grid) | (F.col("raw") == F.col("low")) | (F.col("raw") == F.col("high")))
-    rows = kept.select("file", "column", "raw", "norm").limit(POINTS + 1).toPandas()
-    if len(rows) > POINTS:
-        raise ValueError(f"more than {POINTS} points of curves: normalise fewer files at once")
-    return {key: (own["raw"].to_numpy(), own["norm"].to_numpy()) for key, own in rows.sort_values("raw", kind="stable").groupby(["file", "column"])}
+    return _thinned(_points(reference, columns, suffix, by), grid)[0]
 
 
 def normalise_like(reference: DataFrame, new: DataFrame, columns: list[str], suffix: str = "_n", by: str = "file") -> DataFrame:
     """New raw values on the stored curves (raw, normalised) of their file, interpolated; outside, the end's value.
 
     Adds out_of_range, the share of columns beyond the file's values. A file without a curve is an
-    error. Curves are bounded and broadcast, so the new rows aren't shuffled.
+    error. Curves of GRID points at most are broadcast, so the new rows aren't shuffled. Of longer ones thinned curves
+    are: these cut them into stretches, in which each different value finds the points on its two sides.
     """
     wanted = [r[by] for r in new.select(by).distinct().join(reference.select(by).distinct(), by, "left_anti").limit(5).collect()]
     if wanted:
         raise ValueError(f"no reference rows for {wanted}")
-    known = new.sparkSession.sparkContext.broadcast(curves(reference, columns, suffix, by))
+    points = saved(_points(reference, columns, suffix, by), "curves")
+    short, thin = _thinned(points, GRID)
+    known = new.sparkSession.sparkContext.broadcast(short)
+    if thin:
+        return _between_points(points, known, new, columns, suffix, by)
     shape = ", ".join(f"{c}{suffix} double" for c in columns) + ", out_of_range double"
 
     @F.pandas_udf(shape)
@@ -223,6 +238,45 @@ def normalise_like(reference: DataFrame, new: DataFrame, columns: list[str], suf
     return done.select(*new.columns, *(F.nanvl(f"_like.{c}{suffix}", F.lit(None)).alias(c + suffix) for c in columns), "_like.out_of_range")
 
 
+def _between_points(points: DataFrame, known, new: DataFrame, columns: list[str], suffix: str, by: str) -> DataFrame:
+    """normalise_like() on all points of curves that are too long to be sent; known: thinned ones."""
+
+    @F.pandas_udf("stretch int, raw double, norm double")
+    def stretch(file: pd.Series, column: pd.Series, x: pd.Series) -> pd.DataFrame:
+        """The stretch of a thinned curve from one of its points up to before the next, and that next point; -1 before the first."""
+        at, raw, norm = np.full(len(x), -1, np.int32), np.full(len(x), np.nan), np.full(len(x), np.nan)
+        for (f, c), own in x.groupby([file, column]):
+            if curve := known.value.get((f, c)):
+                where = x.index.get_indexer(own.index)
+                k = np.searchsorted(curve[0], own.to_numpy(float), "right")
+                at[where], inside = k - 1, k < len(curve[0])
+                raw[where[inside]], norm[where[inside]] = curve[0][k[inside]], curve[1][k[inside]]
+        return pd.DataFrame({"stretch": at, "raw": raw, "norm": norm})
+
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))
+    asked = new.select(F.col(by).cast("string").alias("file"), F.inline(pairs)).where(finite("x")).distinct()
+    both = points.select("file", "column", F.col("raw").alias("x"), F.struct("raw", "norm").alias("_point"), F.lit(False).alias("_asked"))
+    both = both.unionByName(asked.withColumns({"_point": F.lit(None).cast("struct<raw:double,norm:double>"), "_asked": F.lit(True)}))
+    both = both.withColumn("_s", stretch("file", "column", "x"))
+    own = Window.partitionBy("file", "column", "_s.stretch")
+    nearest = lambda order: F.last("_point", ignorenulls=True).over(own.orderBy(order))
+    edge = F.when(finite("_s.raw"), F.struct(F.col("_s.raw").alias("raw"), F.col("_s.norm").alias("norm")))
+    sides = both.withColumns({"_a": nearest(F.asc("x")), "_b": F.coalesce(nearest(F.desc("x")), edge)}).where("_asked")
+    a, b, x = F.col("_a"), F.col("_b"), F.col("x")
+    y = F.when(a.isNull(), b["norm"]).when(b.isNull() | (a["raw"] == x), a["norm"]).otherwise(a["norm"] + (x - a["raw"]) / (b["raw"] - a["raw"]) * (b["norm"] - a["norm"]))
+    found = saved(sides.select("file", "column", "x", y.alias("y")), "placed")
+    ends = {c: {f: (curve[0][0], curve[0][-1]) for (f, of), curve in known.value.items() if of == c} for c in columns}
+    out, outside = new, F.lit(0)
+    for i, c in enumerate(columns):
+        own = found.where(F.col("column") == c).select(F.col("file").alias("_file"), F.col("x").alias("_x"), F.col("y").alias(f"_y{i}"))
+        low = new.sparkSession.createDataFrame([(f, float(p), float(q)) for f, (p, q) in ends[c].items()], f"_of string, _low{i} double, _high{i} double")
+        file, v = F.col(by).cast("string"), F.col(c).cast("double")
+        out = out.join(own, (file == F.col("_file")) & (v == F.col("_x")), "left").drop("_file", "_x")
+        out = out.join(F.broadcast(low), file == F.col("_of"), "left").drop("_of")  # a row a file
+        outside = outside + F.coalesce((~F.isnan(v) & ((v < F.col(f"_low{i}")) | (v > F.col(f"_high{i}")))).cast("int"), F.lit(0))
+    return out.select(*new.columns, *(F.col(f"_y{i}").alias(c + suffix) for i, c in enumerate(columns)), (outside / F.lit(float(max(len(columns), 1)))).alias("out_of_range"))
+
+
 def distance_share(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, share): each column's part of the mean squared distance of two rows, which is that of its variance."""
     row = df.agg(*(F.var_pop(c).alias(c) for c in columns))

@@ -67,6 +67,28 @@ def test_normalise_like(spark):
         T.normalise_like(known, frame(spark, [1.0], "other"), ["x"])
 
 
+@pytest.mark.parametrize("grid", [4096, 40])
+def test_long_curves_are_met_at_every_point(spark, monkeypatch, grid):
+    x = np.random.default_rng(3).lognormal(size=500).round(2)
+    df = spark.createDataFrame([(k, "ab"[k % 2], float(v), float(v) ** 2) for k, v in enumerate(x)], "id long, file string, x double, z double")
+    known, _ = T.normalise(df, {"x": "log-unit", "z": "log-unit"})
+    monkeypatch.setattr(T, "GRID", grid)
+    odd = [(1000, "a", nan, 1.0), (1001, "b", float("inf"), None), (1002, "b", -5.0, 1e9)]
+    new = df.withColumn("x", F.col("x") * 1.07).unionByName(spark.createDataFrame(odd, df.schema)).unionByName(df.where("id = 7"))
+    rows = known.toPandas()
+    got = T.normalise_like(known, new, ["x", "z"]).toPandas()
+    assert len(got) == 504
+    for file in "ab":
+        own, out = rows[rows.file == file], got[got.file == file]
+        for c in "xz":
+            first = own.groupby(c)[f"{c}_n"].min()
+            fine = np.isfinite(out[c].to_numpy(float))
+            assert out[f"{c}_n"][fine].to_numpy() == pytest.approx(np.interp(out[c][fine], first.index, first), abs=1e-12)
+            assert out[f"{c}_n"][~fine].isna().all()
+        beyond = sum(((out[c] < own[c].min()) | (out[c] > own[c].max())).to_numpy(int) for c in "xz")
+        assert (out.out_of_range == beyond / 2).all()
+
+
 def test_duplicates_come_from_the_largest_file(spark):
     df = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (2, "b", 1), (3, "a", 1), (4, "b", 2)], "id long, file string, row int")
     assert {(r.id, r.file) for r in D.deduplicate(df, ["id"]).collect()} == {(1, "b"), (2, "b"), (3, "a"), (4, "b")}
