@@ -10,10 +10,10 @@ from .ranks import quantiles
 
 
 def deduplicate(df: DataFrame, keys: list[str], file: str = "file", order: list[str] = ("row",)) -> DataFrame:
-    """One row a key: from the file with most rows, then by name and order. File sizes are a small table, joined."""
+    """One row a key: from the file with most rows, then by name and order. File sizes are a small table, a row a file, and are sent: rows meet by key alone."""
     sizes = df.groupBy(file).agg(F.count("*").alias("_size"))
     best = Window.partitionBy(*keys).orderBy(F.desc("_size"), file, *order)
-    return df.join(sizes, file).withColumn("_k", F.row_number().over(best)).where("_k = 1").select(df.columns)
+    return df.join(F.broadcast(sizes), file).withColumn("_k", F.row_number().over(best)).where("_k = 1").select(df.columns)
 
 
 def drop_superseded(df: DataFrame, suffix: str = "_clean") -> DataFrame:

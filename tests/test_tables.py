@@ -89,6 +89,17 @@ def test_long_curves_are_met_at_every_point(spark, monkeypatch, grid):
         assert (out.out_of_range == beyond / 2).all()
 
 
+def test_rows_of_one_file_do_not_meet_in_one_task(spark):
+    df = spark.createDataFrame([(k, "a", k) for k in range(50)], "id long, file string, row int")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = D.deduplicate(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_duplicates_come_from_the_largest_file(spark):
     df = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (2, "b", 1), (3, "a", 1), (4, "b", 2)], "id long, file string, row int")
     assert {(r.id, r.file) for r in D.deduplicate(df, ["id"]).collect()} == {(1, "b"), (2, "b"), (3, "a"), (4, "b")}
