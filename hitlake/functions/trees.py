@@ -64,13 +64,13 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _histogram(bins: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
+def _histogram(bins: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, times: np.ndarray | None = None) -> np.ndarray:
     """(3, features, width): sums of gradients, second derivatives and rows."""
     out = np.empty((3, bins.shape[1], width))
-    gr, hr = g[rows], h[rows]
+    gr, hr, tr = g[rows], h[rows], None if times is None else times[rows]
     for j in range(bins.shape[1]):
         own = bins[:, j].take(rows).astype(np.intp)
-        out[0, j], out[1, j], out[2, j] = np.bincount(own, gr, width), np.bincount(own, hr, width), np.bincount(own, minlength=width)
+        out[0, j], out[1, j], out[2, j] = np.bincount(own, gr, width), np.bincount(own, hr, width), np.bincount(own, tr, width)
     return out
 
 
@@ -93,11 +93,11 @@ def _best_split(hist: np.ndarray) -> tuple[float, int, int, bool]:
     return best
 
 
-def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, leaves: int = LEAVES) -> tuple[list, np.ndarray]:
-    """One tree, as nodes [feature, bin, missing_left, left, value], and each row's leaf value."""
+def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, leaves: int = LEAVES, times: np.ndarray | None = None) -> tuple[list, np.ndarray]:
+    """One tree, as nodes [feature, bin, missing_left, left, value], and each row's leaf value. times: how often each row stands; g and h are of all its times."""
     rows, values = [np.arange(len(g))], np.zeros(len(g))
     nodes = [[-1, 0, False, 0, 0.0]]
-    hists = {0: _histogram(bins, rows[0], g, h, width)}
+    hists = {0: _histogram(bins, rows[0], g, h, width, times)}
     open_ = {0: _best_split(hists[0])}
     for _ in range(leaves - 1):
         at = max(open_, key=lambda k: (open_[k][0], -k))
@@ -112,7 +112,7 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, leaves: int
         nodes += [[-1, 0, False, 0, 0.0], [-1, 0, False, 0, 0.0]]
         rows += list(parts)
         small = int(len(parts[1]) < len(parts[0]))
-        hists[left + small] = _histogram(bins, parts[small], g, h, width)
+        hists[left + small] = _histogram(bins, parts[small], g, h, width, times)
         hists[left + 1 - small] = hists.pop(at) - hists[left + small]
         for k in (left, left + 1):
             open_[k] = _best_split(hists[k])
@@ -126,8 +126,8 @@ def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, leaves: int
     return nodes, values
 
 
-def boost(bins: np.ndarray, y: np.ndarray, rounds: int, leaves: int = LEAVES) -> Forest:
-    """bins (n, features) as binned() gives them; y 0 or 1.
+def boost(bins: np.ndarray, y: np.ndarray, rounds: int, leaves: int = LEAVES, times: np.ndarray | None = None) -> Forest:
+    """bins (n, features) as binned() gives them; y 0 or 1; times: how often each row stands, else once.
 
     All start from even odds, not from the rows' own, so that scores of folds with other shares of labels compare after few rounds too.
     """
@@ -135,7 +135,8 @@ def boost(bins: np.ndarray, y: np.ndarray, rounds: int, leaves: int = LEAVES) ->
     raw, trees, width = np.full(len(y), base), [], int(bins.max()) + 1
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-raw))
-        nodes, values = grow(bins, p - y, p * (1 - p), max(width, 3), leaves)
+        g, h = p - y, p * (1 - p)
+        nodes, values = grow(bins, g if times is None else g * times, h if times is None else h * times, max(width, 3), leaves, times)
         raw += values
         trees.append(nodes)
     size = max((len(t) for t in trees), default=1)
@@ -144,7 +145,11 @@ def boost(bins: np.ndarray, y: np.ndarray, rounds: int, leaves: int = LEAVES) ->
 
 
 def probability(forest: Forest, bins: np.ndarray) -> np.ndarray:
-    """Of label 1, for each row."""
+    """Of label 1, for each row; equal rows are looked up once."""
+    if not len(bins):
+        return np.zeros(0)
+    _, first, same = np.unique(np.ascontiguousarray(bins).view(np.dtype((np.void, bins.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    bins = bins[first]
     raw = np.full(len(bins), forest.base)
     columns = [np.ascontiguousarray(bins[:, j]) for j in range(bins.shape[1])]
     for allowed, values in zip(*forest.tables(len(columns)), strict=True):
@@ -153,4 +158,4 @@ def probability(forest: Forest, bins: np.ndarray) -> np.ndarray:
             left &= allowed[j][columns[j]]
         lowest = (left & (~left + np.uint32(1))).astype(np.float32).view(np.int32)
         raw += values[(lowest >> 23) - 127]  # the exponent is the place of the lowest bit
-    return 1 / (1 + np.exp(-raw))
+    return (1 / (1 + np.exp(-raw)))[same.ravel()]

@@ -1,10 +1,11 @@
 """Boosted trees of several folds and seeds, fitted side by side from one binned table.
 
 Features are binned once: 254 edges a feature and seed, from one aggregation; the seed moves the
-quantiles that the edges stand at. A row is then one byte a feature, and what travels to the fits is
-blocks of such bytes, (folds - 1) x seeds times. Each fit is one task over the rows of the other
-folds, all in parallel in one job. A fit takes at most MOST rows (a documented sample by hash beyond
-that), about 100 bytes each with its working arrays. Scoring is one pass without a shuffle.
+quantiles that the edges stand at. A row is then one byte a feature; equal rows of a fold and label meet and are
+counted, so what travels to the fits, (folds - 1) x seeds times, is blocks of different rows and how often each
+stands. Each fit is one task over the rows of the other folds, all in parallel in one job. A fit takes at most MOST different rows
+(a documented sample by hash beyond that), about 100 bytes each with its working arrays. Scoring is one pass without a
+shuffle; equal rows of a batch are scored once.
 """
 
 from __future__ import annotations
@@ -67,28 +68,38 @@ def fit(df: DataFrame, features: list[str], folds: int, seeds: list[int], rounds
     ship(df.sparkSession)
     df = saved(df.select(F.col("label").cast("int").alias("label"), "fold", *(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features))), "training")
     names = [f"x{j}" for j in range(len(features))]
-    n = df.count()
-    if n > most:
-        df = df.where(F.shiftrightunsigned(F.xxhash64(*df.columns), 11) / float(1 << 53) < most / n)
     edges = _edges(df, names, seeds)
     sent = df.sparkSession.sparkContext.broadcast(edges)
 
     def pack(batches):
         for batch in batches:
-            for fold, own in batch.groupby("fold"):
+            x = batch[names].to_numpy(float)
+            for s, e in sent.value.items():
+                bins = np.ascontiguousarray(trees.binned(x, e)).view(np.dtype((np.void, len(names)))).ravel()
+                yield pd.DataFrame({"fold": batch.fold.to_numpy(np.int32), "seed": np.int32(s), "label": batch.label.to_numpy(np.int32), "bins": [b.tobytes() for b in bins]})
+
+    def join(groups):
+        """Rows that are equal once they are binned have met; they go to the fits in blocks."""
+        for batch in groups:
+            for (fold, s), own in batch.groupby(["fold", "seed"]):
                 for a in range(0, len(own), BLOCK):
                     part = own.iloc[a : a + BLOCK]
-                    x = part[names].to_numpy(float)
-                    for s, e in sent.value.items():
-                        yield pd.DataFrame({"fold": [int(fold)], "seed": [int(s)], "y": [part.label.to_numpy(np.uint8).tobytes()], "bins": [np.ascontiguousarray(trees.binned(x, e)).tobytes()]})
+                    yield pd.DataFrame({"fold": [int(fold)], "seed": [int(s)], "y": [part.label.to_numpy(np.uint8).tobytes()], "times": [part.times.to_numpy(np.int64).tobytes()], "bins": [b"".join(part.bins)]})
 
     def boost(blocks: pa.Table) -> pa.Table:
         y = np.frombuffer(b"".join(blocks["y"].to_pylist()), np.uint8).astype(float)
+        times = np.frombuffer(b"".join(blocks["times"].to_pylist()), np.int64).astype(float)
         bins = np.frombuffer(b"".join(blocks["bins"].to_pylist()), np.uint8).reshape(len(y), -1)
-        forest = trees.boost(np.asfortranarray(bins), y, rounds)
+        order = np.lexsort((y, *bins.T))  # the same sums, however the rows were dealt
+        forest = trees.boost(np.asfortranarray(bins[order]), y[order], rounds, times=times[order])
         return pa.table({"model": pa.array([blocks["model"][0].as_py()], pa.int32()), "seed": pa.array([blocks["seed"][0].as_py()], pa.int32()), "forest": pa.array([pickle.dumps(forest)], pa.binary())})
 
-    blocks = df.mapInPandas(pack, "fold int, seed int, y binary, bins binary")
+    met = df.mapInPandas(pack, "fold int, seed int, label int, bins binary").groupBy("fold", "seed", "label", "bins").agg(F.count("*").alias("times"))
+    met = saved(met, "binned")
+    n = met.count() / len(seeds)
+    if n > most:
+        met = met.where(F.shiftrightunsigned(F.xxhash64("fold", "label", "bins"), 11) / float(1 << 53) < most / n)
+    blocks = met.mapInPandas(join, "fold int, seed int, y binary, times binary, bins binary")
     dealt = blocks.withColumn("model", F.explode(F.array(*(F.lit(k) for k in range(folds))))).where("model <> fold")
     jobs = folds * len(seeds)
     places = {s: i for i, s in enumerate(seeds)}

@@ -113,3 +113,13 @@ def test_mean_of_all_models_without_a_fold(spark, table):
     got = df.where("id < 40").select("a", "b", boosting.score(df, models, ["a", "b"], F.lit(None).cast("int")).alias("s")).collect()
     x = np.array([[np.nan if v is None else v for v in (r.a, r.b)] for r in got])
     assert np.allclose([r.s for r in got], np.mean([models[k][0].probability(x) for k in range(3)], axis=0))
+
+
+def test_equal_rows_count_as_often_as_they_stand():
+    rng = np.random.default_rng(8)
+    bins = np.asfortranarray(rng.integers(0, 12, (3000, 2)).astype(np.uint8))
+    y = (rng.random(3000) < bins[:, 0] / 12).astype(float)
+    rows, first, times = np.unique(np.column_stack([bins, y]), axis=0, return_index=True, return_counts=True)
+    assert len(rows) < 300
+    one, all_ = trees.boost(np.asfortranarray(bins[first]), y[first], 20, times=times.astype(float)), trees.boost(bins, y, 20)
+    assert trees.probability(one, bins) == pytest.approx(trees.probability(all_, bins), abs=1e-9)
