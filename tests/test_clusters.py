@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +26,17 @@ def test_hdbscan_finds_blobs(selection):
         hdbscan.labels(np.zeros((hdbscan.MOST + 1, 1)))
 
 
+def test_core_distances_keep_no_table(monkeypatch):
+    monkeypatch.setattr(hdbscan, "BLOCK", 1 << 16)
+    x = np.random.default_rng(2).normal(size=(2000, 3))
+    tracemalloc.start()
+    got = hdbscan.core_distances(x, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6, "a table of all distances has 32 MB"
+    assert got == pytest.approx(np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 7])
+
+
 def test_ward_heights_match_the_definition():
     x = np.random.default_rng(1).normal(size=(12, 3))
     z = ward.linkage(x)
