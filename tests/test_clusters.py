@@ -9,6 +9,7 @@ from hitlake.functions import masks as M
 from hitlake.operators import clusters as C
 from hitlake.operators import quality as Q
 from hitlake.operators import scoring as S
+from hitlake.plans import clusters as plans
 
 
 def blobs(k=3, n=120, spread=0.3, seed=0):
@@ -37,6 +38,24 @@ def test_core_distances_keep_no_table(monkeypatch):
     assert got == pytest.approx(np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 7])
 
 
+def test_tree_is_the_same_from_a_table_and_row_by_row(monkeypatch):
+    x = np.round(np.random.default_rng(3).normal(size=(400, 3)), 1)  # many ties
+    want = hdbscan.spanning_tree(x, 8)
+    monkeypatch.setattr(hdbscan, "NEAR", 1000)
+    assert (hdbscan.spanning_tree(x, 8) == want).all()
+    monkeypatch.setattr(hdbscan, "BLOCK", 1 << 17)
+    assert (hdbscan.spanning_tree(x, 8) == want).all() and len(want) == 399
+
+
+def test_hits_are_derived_once_before_scaling(spark, monkeypatch):
+    read = []
+    scale = plans.T.scale
+    monkeypatch.setattr(plans.T, "scale", lambda df, columns: read.append(df._jdf.queryExecution().optimizedPlan().toString()) or scale(df, columns))
+    monkeypatch.setattr(plans.C, "cluster_epochs", lambda df, columns, **options: (df, []))
+    plans.found(spark, "/root/testdata/sf0.001")
+    assert len(read) == 1 and "props" not in read[0], "each pass of the scaling would take the events apart again"
+
+
 def test_ward_heights_match_the_definition():
     x = np.random.default_rng(1).normal(size=(12, 3))
     z = ward.linkage(x)
