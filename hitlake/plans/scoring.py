@@ -75,7 +75,7 @@ def _(spark, sf_dir):
 
 @query("cluster_quality")
 def _(spark, sf_dir):
-    df = O.weak_labels(given_clusters(spark, sf_dir).join(O.beam_multiplicity(hits(spark, sf_dir), 5e6, 1).select("id", "n_beams"), "id"), 4, 1)
+    df = O.weak_labels(O.beam_multiplicity(hits(spark, sf_dir), 5e6, 1, asked=given_clusters(spark, sf_dir)), 4, 1)
     got = Q.quality(df, (1000.0, 2400.0), n_perm=5)
     return spark.createDataFrame([(k, float(v)) for k, v in got.items() if not isinstance(v, dict)], "measure string, value double")
 

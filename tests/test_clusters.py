@@ -153,6 +153,19 @@ def test_quality_of_nothing_clustered(spark):
     assert got["n_clusters"] == 0 and np.isnan(got["narrow_frac"])
 
 
+def test_quality_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(k, 100.0 + k % 3, k % 4, k % 2) for k in range(60)], "id long, frequency double, cluster int, weak_label int").repartition(3)
+    got = Q.quality(df.mapInPandas(count, df.schema))
+    assert seen.value == 60 and got["n"] == 60 and got["n_clusters"] == 4
+
+
 def test_stability_gives_three_numbers(spark):
     a = spark.createDataFrame([(k, k % 2) for k in range(20)], "id long, cluster int")
     b = spark.createDataFrame([(k, -1 if k < 10 else k % 2) for k in range(20)], "id long, cluster int")
