@@ -145,7 +145,8 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
 
         return arrow_map(fps.select("fp"), kernel, f"anchor long, {name} long")
 
-    return at("a", True).join(at("b", False), "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)).select("a", "b")
+    # Spark takes either side to be as large as fps and would broadcast 16 or more rows for each; shuffled, it holds no side whole.
+    return at("a", True).join(at("b", False).hint("merge"), "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)).select("a", "b")
 
 
 def groups(prints: DataFrame, scratch: Scratch, most: int = 3, key: str = "doc_id") -> DataFrame:

@@ -62,6 +62,14 @@ def test_every_link_is_found(spark):
     assert got == want and len(want) > 100
 
 
+def test_anchors_are_never_broadcast(spark, tmp_path):
+    """A stored table of this size is under Spark's bound for a broadcast; the rows that it is replicated to aren't known to Spark."""
+    spark.range(1000).selectExpr("xxhash64(id) as fp").write.parquet(str(tmp_path / "fps"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_match_brute_force(docs):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(400)]
