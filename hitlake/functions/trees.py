@@ -139,17 +139,88 @@ def boost(bins: np.ndarray, y: np.ndarray, rounds: int, leaves: int = LEAVES, ti
         nodes, values = grow(bins, g if times is None else g * times, h if times is None else h * times, max(width, 3), leaves, times)
         raw += values
         trees.append(nodes)
+    return stacked(base, trees)
+
+
+def stacked(base: float, trees: list[list]) -> Forest:
+    """Trees as grow() and Growing.tree() give them, as one forest."""
     size = max((len(t) for t in trees), default=1)
     flat = lambda k, kind: np.array([[n[k] for n in t] + [(-1, 0, False, 0, 0.0)[k]] * (size - len(t)) for t in trees], kind).reshape(len(trees), size)
     return Forest(base, flat(0, np.int16), flat(1, np.uint8), flat(2, bool), flat(3, np.int32), flat(4, np.float64))
 
 
+@dataclass
+class Growing:
+    """A tree whose nodes are measured elsewhere: grow()'s order of splits, asked for as many nodes at once as may be needed.
+
+    nodes: [feature, bin, missing to the left, left child] of each node, 0 for no child. known: (gain, feature, bin, missing to the left, value) of each measured one.
+    """
+
+    leaves: int = LEAVES
+    nodes: list[list] = field(default_factory=lambda: [[-1, 0, False, 0]])
+    known: dict[int, tuple] = field(default_factory=dict)
+    order: list[int] = field(default_factory=list)
+
+    def asks(self) -> list[int]:
+        """Nodes that must be measured before the next split is known; none for a tree that is complete."""
+        if not self.known:
+            return [0]
+        open_, self.order = [0], []  # in the order in which grow() numbers them
+        while len(open_) < self.leaves:
+            ready = [k for k in sorted(open_, key=lambda k: -self.known[k][0]) if self.known[k][0] > 1e-9][: self.leaves - len(open_)]
+            if not ready:
+                break
+            at = ready[0]
+            if not self.nodes[at][3]:
+                new = [k for k in ready if not self.nodes[k][3]]
+                for k in new:
+                    self.nodes[k] = [*self.known[k][1:4], len(self.nodes)]
+                    self.nodes += [[-1, 0, False, 0], [-1, 0, False, 0]]
+                return [c for k in new for c in (self.nodes[k][3], self.nodes[k][3] + 1)]
+            open_.remove(at)
+            open_ += [self.nodes[at][3], self.nodes[at][3] + 1]
+            self.order.append(at)
+        return []
+
+    def tree(self) -> list[list]:
+        """The complete tree as grow() gives it."""
+        out, place = [[-1, 0, False, 0, self.known[0][4]]], {0: 0}
+        for at in self.order:
+            j, b, missing_left, left = self.nodes[at]
+            out[place[at]] = [j, b, missing_left, len(out), 0.0]
+            for c in (left, left + 1):
+                place[c] = len(out)
+                out.append([-1, 0, False, 0, self.known[c][4]])
+        return out
+
+
+def parts(nodes: list[list], bins: np.ndarray) -> dict[int, np.ndarray]:
+    """Rows at each of a growing tree's nodes."""
+    rows = {0: np.arange(len(bins))}
+    for k, (j, b, missing_left, left) in enumerate(nodes):
+        if left:
+            own = bins[:, j].take(rows[k])
+            goes = (own <= b) & ((own > 0) | missing_left)
+            rows[left], rows[left + 1] = rows[k][goes], rows[k][~goes]
+    return rows
+
+
+def measured(hist: np.ndarray) -> tuple[float, int, int, bool, float]:
+    """What Growing has to know of a node: its best split, and its value as a leaf."""
+    g, h = hist[:2, 0].sum(axis=1)
+    return *_best_split(hist), float(-g / max(h, 1e-12) * RATE)
+
+
 def probability(forest: Forest, bins: np.ndarray) -> np.ndarray:
     """Of label 1, for each row; equal rows are looked up once."""
     if not len(bins):
         return np.zeros(0)
     _, first, same = np.unique(np.ascontiguousarray(bins).view(np.dtype((np.void, bins.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    bins = bins[first]
+    return (1 / (1 + np.exp(-raw_scores(forest, bins[first]))))[same.ravel()]
+
+
+def raw_scores(forest: Forest, bins: np.ndarray) -> np.ndarray:
+    """The sum of the trees' values for each row."""
     raw = np.full(len(bins), forest.base)
     columns = [np.ascontiguousarray(bins[:, j]) for j in range(bins.shape[1])]
     for allowed, values in zip(*forest.tables(len(columns)), strict=True):
@@ -158,4 +229,4 @@ def probability(forest: Forest, bins: np.ndarray) -> np.ndarray:
             left &= allowed[j][columns[j]]
         lowest = (left & (~left + np.uint32(1))).astype(np.float32).view(np.int32)
         raw += values[(lowest >> 23) - 127]  # the exponent is the place of the lowest bit
-    return (1 / (1 + np.exp(-raw)))[same.ravel()]
+    return raw

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +25,29 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(where)
+
+
+class Tables:
+    """Tables of a loop in the shared folder, each of which can go before the driver ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self._paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(path)
+        self._fs.deleteOnExit(path)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        where = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(where)
+        out = self.spark.read.schema(df.schema).parquet(where)
+        self._paths[id(out)] = where, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Tables that nothing reads any more; Spark's cleaner then drops the shuffle files of what they were made by, too."""
+        for table in tables:
+            where, _ = self._paths.pop(id(table))
+            self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where), True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()

@@ -123,3 +123,35 @@ def test_equal_rows_count_as_often_as_they_stand():
     assert len(rows) < 300
     one, all_ = trees.boost(np.asfortranarray(bins[first]), y[first], 20, times=times.astype(float)), trees.boost(bins, y, 20)
     assert trees.probability(one, bins) == pytest.approx(trees.probability(all_, bins), abs=1e-9)
+
+
+def test_growing_by_asking_makes_the_same_tree():
+    rng = np.random.default_rng(9)
+    bins = np.asfortranarray(rng.integers(0, 40, (4000, 3)).astype(np.uint8))
+    g, h = rng.normal(size=4000) + (bins[:, 1] > 20) * (bins[:, 0] < 9), rng.random(4000) + 0.1
+    want, _ = trees.grow(bins, g, h, 256)
+    own, asked = trees.Growing(), 0
+    while nodes := own.asks():
+        asked, at = asked + 1, trees.parts(own.nodes, bins)
+        own.known |= {k: trees.measured(trees._histogram(bins, at[k], g, h, 256)) for k in nodes}
+    got = own.tree()
+    assert [n[:4] for n in got] == [n[:4] for n in want] and np.allclose([n[4] for n in got], [n[4] for n in want]) and asked < 25
+
+
+def test_every_row_teaches_however_many_they_are(spark, table, monkeypatch):
+    """3000 different rows where a task takes 500: the forests are those of all rows, not of some."""
+    df, _, _ = table
+    monkeypatch.setattr(boosting, "STORED", 2)
+    want, got = (boosting.fit(d, ["a", "b", "c"], 3, [0], 5, most) for d, most in ((df, 10_000), (df.repartition(7), 500)))
+    x = np.random.default_rng(2).normal(size=(500, 3))
+    assert {k: len(v) for k, v in got.items()} == {0: 1, 1: 1, 2: 1}
+    for k in range(3):
+        off = np.abs(got[k][0].probability(x) - want[k][0].probability(x))
+        assert np.mean(off > 1e-6) < 0.02 and off.mean() < 1e-3, "but for splits of equal gain"
+
+
+def test_edges_are_exact_quantiles(spark):
+    df = spark.range(40_000).selectExpr("double(id) as x0")
+    (edges,) = boosting._edges(df, ["x0"], [0])[0]
+    at = 39_999 * (np.arange(boosting.EDGES) + np.random.default_rng(0).random()) / boosting.EDGES
+    assert edges == pytest.approx((at[:-1] + at[1:]) / 2)
